@@ -19,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from platen.llm import media
+
+    return media.payload_digests(media.store_payloads(_table(spark, sf_dir, "documents")))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from platen.llm import token_output
 
@@ -33,6 +39,18 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from platen.llm import neardup
+
+    return neardup.near_duplicate_groups(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op8_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from platen.llm import pii
+
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from platen.llm import packing
 
@@ -40,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_output, op5_bpe_round_trip, op10_packing)}
+    return {f.__name__: f for f in (op1_avi_media, op2_token_output, op5_bpe_round_trip, op6_minhash_neardup, op8_pii_anchors, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
