@@ -8,13 +8,13 @@ remaining sets into buckets, and a bucket's pairs are tried in two rounds:
 
 1. every set against the least one of its bucket;
 2. in buckets whose sets are still in more than one component, all pairs over different
-   components whose signatures agree enough, in blocks of at most BLOCK sets. A
-   pair is only tried in the first band where it agrees.
+   components whose signatures, LONG coordinates for these sets, agree enough, in
+   blocks of about BLOCK sets. A pair is only tried in the first band where it agrees.
 
 Each link is confirmed on the full sets (100 * intersection >= percent * union).
 Pairs that round 2 leaves out are connected already, so components lose nothing.
 At a similarity of 0.8 banding misses a pair with a probability below 7e-5 and
-the signature test of round 2 one below 2e-5; both vanish quickly above.
+the signature test of round 2 one below 6e-5; both vanish quickly above.
 
 Defined cases: null, empty and blank texts have empty sets and link with
 nothing; a null doc_id links with nothing and stands alone (component null, kept);
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platen.llm.bpe import text_column
-from platen.llm.components import connected_components
+from platen.llm.components import connected_components, contracted
 from platen.llm.shingles import mix, sets_of
 from platen.llm.tables import dropped, stored
 
@@ -40,24 +40,26 @@ SLOTS = 1 << 20
 BANDS = 32
 ROWS = 6
 WIDTH = BANDS * ROWS
+LONG = 1024
 BLOCK = 2048
-MARGIN = 0.12  # below the threshold, in signature agreement
-SKETCH = "doc_id long, n_shingles long, key_a long, key_b long, sign binary, bands array<long>"
+ROUGH, FINE = 0.12, 0.05  # below the threshold: least agreement of the first WIDTH and of all LONG coordinates
+SKETCH = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
 
 
 @lru_cache(maxsize=1)
-def _windows() -> np.ndarray:
-    """All circular windows of the second permutation, as a view."""
+def _order() -> np.ndarray:
+    """The second permutation, continued round the circle."""
     order = np.random.default_rng(20).permutation(SLOTS).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:WIDTH]]), WIDTH)
+    return np.concatenate([order, order[:LONG]])
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    windows = _windows()
+def signature(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    windows = np.lib.stride_tricks.sliding_window_view(_order(), width)
     slots = (mix(shingles) & np.uint64(SLOTS - 1)).astype(np.int64)
-    sign = np.full(WIDTH, SLOTS, np.int32)
-    for at in range(0, len(slots), 1024):
-        np.minimum(sign, windows[slots[at : at + 1024]].min(axis=0), out=sign)
+    sign = np.full(width, SLOTS, np.int32)
+    step = 1024 * WIDTH // width
+    for at in range(0, len(slots), step):
+        np.minimum(sign, windows[slots[at : at + step]].min(axis=0), out=sign)
     return sign
 
 
@@ -74,17 +76,15 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 def _sketch(size: int):
     def run(batches):
         for batch in batches:
-            n, a, b, signs, bands = [], [], [], [], []
+            n, a, b, bands = [], [], [], []
             for s in sets_of(batch.column(1).to_pylist(), size):
                 n.append(len(s))
                 a.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                sign = signature(s) if len(s) else np.empty(0, np.int32)
-                signs.append((sign & 255).astype(np.uint8).tobytes())
-                bands.append(band_keys(sign) if len(s) else np.empty(0, np.int64))
+                bands.append(band_keys(signature(s)) if len(s) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*bands, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signs, pa.binary()), keys], ["doc_id", "n_shingles", "key_a", "key_b", "sign", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), keys], ["doc_id", "n_shingles", "key_a", "key_b", "bands"])
 
     return run
 
@@ -92,8 +92,12 @@ def _sketch(size: int):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in sets_of(batch.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
+            sets, signs = [], []
+            for s in sets_of(batch.column(1).to_pylist(), size):
+                sets.append(s.tobytes())
+                signs.append((signature(s, LONG) & 255).astype(np.uint8).tobytes())
+            n = pa.array([len(s) // 8 for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], ["node", "n_shingles", "sign", "shingles"])
 
     return run
 
@@ -116,29 +120,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def _candidates(percent: int):
     """Pairs of a block of a bucket that lie in different components and may be similar."""
-    least = (percent / 100 - MARGIN) * WIDTH
+    rough, fine = (percent / 100 - ROUGH) * WIDTH, (percent / 100 - FINE) * LONG
 
     def run(key, table):
         band, left, right = (key[i].as_py() for i in (1, 2, 3))
         node, comp, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        ones = np.flatnonzero(block == left)
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(-1, LONG)
+        first = np.ascontiguousarray(sign[:, :WIDTH])
         found_a, found_b = [], []
-        for i in ones.tolist():
+        for i in np.flatnonzero(block == left).tolist():
             others = np.flatnonzero((block == right) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             if left == right:
                 others = others[others > i]
+            others = others[(first[others] == first[i]).sum(axis=1) >= rough]
+            others = others[(sign[others] == sign[i]).sum(axis=1) >= fine]
             if len(others):
-                same = sign[others] == sign[i]
-                near = same.sum(axis=1) >= least
-                others, same = others[near], same[near]
-                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                others = others[first]
+                same = (first[others] == first[i]).reshape(-1, BANDS, ROWS).all(axis=2)
+                others = others[same.argmax(axis=1) == band]
                 found_a.append(np.minimum(node[i], node[others]))
                 found_b.append(np.maximum(node[i], node[others]))
         empty = np.empty(0, np.int64)
@@ -155,35 +158,34 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
 
     usable = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    nodes, node_path = stored(
-        usable.join(classes, ["key_a", "key_b"]).filter("doc_id = node").dropDuplicates(["node", "key_a", "key_b"]).select("node", "n_shingles", "sign", "bands"), "nodes"
-    )
+    nodes = usable.join(classes, ["key_a", "key_b"]).filter("doc_id = node").dropDuplicates(["key_a", "key_b"])
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
     met, met_path = stored(buckets.join(shared, "bucket"), "buckets")
 
-    involved = met.select(F.col("node").alias("doc_id")).distinct()
-    sets, set_path = stored(texts.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node", "shingles"]), "sets")
+    involved = texts.join(met.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets, set_path = stored(involved.select("doc_id", "text").mapInArrow(_sets(shingle), "node long, n_shingles long, sign binary, shingles binary"), "sets")
 
     stars = met.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links, link_path = stored(_confirmed(stars, sets, percent), "confirmed")
-    first, first_path = connected_components(links)
+    # One contraction is enough here: it only tells which pairs are connected already.
+    first, first_path = contracted(links)
 
-    placed = met.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = first.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_rows = (
         placed.join(split, "bucket", "left_semi")
-        .withColumn("blocks", blocks)
+        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(nodes.select("node", "n_shingles", "sign"), "node")
+        .join(sets.select("node", "n_shingles", "sign"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "component", "n_shingles", "sign")
     )
-    pairs = open_rows.groupBy("bucket", "band", "left", "right").applyInArrow(_candidates(percent), "a long, b long").distinct()
-    more, more_path = stored(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent), "confirmed")
-    final, _ = connected_components(links.union(more))
-    dropped(spark, node_path, met_path, set_path, first_path, link_path, more_path)
+    pairs = open_rows.groupBy("bucket", "band", "left", "right").applyInArrow(_candidates(percent), "a long, b long")
+    more, more_path = stored(_confirmed(pairs, sets, percent), "confirmed")
+    final, _ = connected_components(first.union(more))
+    dropped(spark, met_path, set_path, link_path, first_path, more_path)
 
     return (
         sketches.select("doc_id", "n_shingles", "key_a", "key_b")

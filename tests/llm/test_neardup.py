@@ -92,3 +92,13 @@ def test_shingle_hashes_count_like_tuples(size):
 
     texts = [t for _, t in planted()] + ["a b c", "A b\x0bc\x1fd e"]
     assert [len(s) for s in sets_of(texts, size)] == [len(shingles(t, size)) for t in texts]
+
+
+def test_components_of_chains_and_loops(spark):
+    from platen.llm.components import connected_components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 100), (7, 7), (60, 61), (61, 62), (62, 60)]
+    found, _ = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    got = {r.node: r.component for r in found.collect()}
+    assert got == {**{i: 0 for i in range(41)}, 50: 50, 100: 50, 60: 60, 61: 60, 62: 60}
+    assert connected_components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
