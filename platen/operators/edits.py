@@ -153,7 +153,8 @@ def replay(elements: DataFrame, edits: DataFrame) -> DataFrame:
         return out.astype({"x": "float64", "y": "float64", "font_size": "float64", "width": "float64"})
 
     left = elements.select(*PAGE, "el_idx", "text", "x", "y", "font_size", "width").groupBy(*PAGE)
-    return left.cogroup(edits.groupBy(*PAGE)).applyInPandas(run, REPLAYED)
+    log = edits.withColumnsRenamed({"file_id": "of_file", "page_no": "of_page"}).groupBy("of_file", "of_page")
+    return left.cogroup(log).applyInPandas(run, REPLAYED)
 
 
 def elements_at(elements: DataFrame, cursors: DataFrame) -> DataFrame:
