@@ -1,11 +1,14 @@
 """Byte-level BPE through a distinct-word table.
 
 The pre-tokeniser of a byte-level BPE cuts a text into words and merges never
-cross a word, so equal words always get equal ids. A batch of texts is
-therefore split into words once, each *distinct* word is encoded once with the
-tokenizers library, and the ids are joined back by position. The split, the
-look-up key and the positional join are array operations; the library only ever
-sees distinct words.
+cross a word, so equal words always get equal ids. `word_table` splits all
+texts, counts their distinct words in Spark and encodes each of them once with
+the tokenizers library; `encode_documents` joins the ids back by position. The
+table is shared with the tasks by broadcast, so it has a bound: of more than
+SHARED_WORDS words the most frequent ones go there, and a task encodes the others into
+a table of its own, once each. A `WordCodec` without a shared table does it all
+that way. The split, the look-up key and the positional join are array
+operations; the library only ever sees distinct words.
 
 Split rules (those of the library's byte-level pre-tokeniser):
 
@@ -29,18 +32,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platen.llm.tables import dropped, stored
+
 CHUNK = 1 << 20  # characters that are split at once
 TABLE_WORDS = 1_000_000  # distinct words that a table holds, about 200 MB
 LONG_WORD = 48  # longer words have no place in the table
+SHARED_WORDS = 1_000_000  # rows of the broadcast word table, at most about 50 MB
+FLUSH_WORDS = 300_000  # distinct words that a task counts before it hands them on
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -67,12 +75,28 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
+class Shared:
+    """A word table for all tasks: sorted keys, and the sizes and ids of their words."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.keys, self.sizes, self.ids = keys, sizes, ids
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that are not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
 class WordCodec:
     """Encodes texts as the tokenizers library does, each distinct word once."""
 
-    def __init__(self, path: str, table_words: int = TABLE_WORDS, chunk: int = CHUNK) -> None:
+    def __init__(self, path: str, table_words: int = TABLE_WORDS, chunk: int = CHUNK, shared: Shared | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.shared = shared or Shared(*(np.empty(0, k) for k in (np.uint64, np.int64, np.int32)))
+
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -88,8 +112,11 @@ class WordCodec:
     def _reset(self) -> None:
         self.slots: dict[int, int] = {}
         self.lost = 0
-        self.pool, self.used = np.empty(1 << 16, np.int32), 0
-        self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        shared = self.shared
+        self.pool, self.used = np.concatenate([shared.ids, np.empty(1 << 16, np.int32)]), len(shared.ids)
+        room = np.zeros(1 << 14, np.int64)
+        self.at = np.concatenate([np.cumsum(shared.sizes) - shared.sizes, room])
+        self.size = np.concatenate([shared.sizes, room])
 
     def _class_of(self, char: str) -> int:
         for kind, side in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
@@ -137,7 +164,7 @@ class WordCodec:
         merge, letters = self.model.tokenize, self.letters
         coded = [[t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        slot, total = len(self.slots) + self.lost, int(sizes.sum())
+        slot, total = len(self.shared.keys) + len(self.slots) + self.lost, int(sizes.sum())
         while slot + len(words) > len(self.at):
             self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
         if self.used + total > len(self.pool):
@@ -148,6 +175,52 @@ class WordCodec:
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), np.int32, total)
         self.used += total
 
+    def keys_of(self, words: list[str]) -> np.ndarray:
+        """The look-up keys of words."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        return self._keys(points, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+
+    def count_words(self, texts: Iterable[str | None]) -> Iterator[dict[str, int]]:
+        """Counts of distinct words, of bounded numbers of them at a time."""
+        words: dict[int, str] = {}
+        counts: dict[int, int] = {}
+        group: list[str] = []
+
+        def add() -> None:
+            whole = "".join(group)
+            if not whole:
+                return
+            edges = np.cumsum([0, *map(len, group)])[:-1]
+            points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            first = np.zeros(len(points), bool)
+            first[edges] = True
+            starts = self.word_starts(points, first)
+            ends = np.append(starts[1:], len(points))
+            short = ends - starts <= LONG_WORD
+            starts, ends = starts[short], ends[short]
+            distinct, where, n = np.unique(self._keys(points, starts, ends), return_index=True, return_counts=True)
+            for k, a, b, c in zip(distinct.tolist(), starts[where].tolist(), ends[where].tolist(), n.tolist(), strict=True):
+                if k in counts:
+                    counts[k] += c
+                else:
+                    counts[k], words[k] = c, whole[a:b]
+
+        held = 0
+        for text in texts:
+            for piece in self._cuts(text or ""):
+                if isinstance(piece, str):
+                    group.append(piece)
+                    held += len(piece)
+                    if held >= self.chunk:
+                        add()
+                        group, held = [], 0
+            if len(counts) >= FLUSH_WORDS:
+                yield {words[k]: c for k, c in counts.items()}
+                words, counts = {}, {}
+        add()
+        yield {words[k]: c for k, c in counts.items()}
+
     def encode_parts(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of each part; parts are encoded apart from one another."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -167,12 +240,14 @@ class WordCodec:
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.slots) + self.lost + len(distinct) > max(self.table_words, 2 * len(distinct)):
             self._reset()
-        listed, get = distinct.tolist(), self.slots.get
-        new = [i for i, k in enumerate(listed) if get(k) is None] if self.slots else range(len(listed))
-        if len(new):
-            lo, hi = starts[where].tolist(), ends[where].tolist()
+        slots = self.shared.find(distinct)
+        own = np.flatnonzero(slots < 0)
+        listed, get = distinct[own].tolist(), self.slots.get
+        new = [i for i, k in enumerate(listed) if get(k) is None]
+        if new:
+            lo, hi = starts[where[own]].tolist(), ends[where[own]].tolist()
             self._learn([listed[i] for i in new], [whole[lo[i] : hi[i]] for i in new])
-        slots = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
+        slots[own] = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
         sizes, at = self.size[slots][back], self.at[slots][back]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(at - offsets[:-1], sizes) + np.arange(offsets[-1])]
@@ -280,20 +355,73 @@ def decode(ids: np.ndarray, table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def text_column(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def word_table(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """(word, n, ids) of the distinct words of docs (text), each encoded once; and the path of the stored table.
+
+    Of more than SHARED_WORDS words those that occur most often are kept. Words
+    of more than LONG_WORD characters are left out: tasks encode them.
+    """
+
+    def count(batches):
+        texts = (t for batch in batches for t in batch.column(0).to_pylist())
+        for counts in codec(path).count_words(texts):
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    def encode(batches):
+        library = codec(path).library
+        for batch in batches:
+            ids = [e.ids for e in library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    words, words_path = stored(text_column(docs.select("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    least = 0
+    if words.count() > SHARED_WORDS:
+        # Every row of this is one frequency: the least one whose words still fit.
+        held = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+        rows = words.groupBy("n").count().withColumn("held", F.sum("count").over(held)).filter(F.col("held") <= SHARED_WORDS).agg(F.min("n")).first()
+        least = rows[0] if rows[0] is not None else (1 << 62)
+    table, path_of = stored(words.filter(F.col("n") >= least).mapInArrow(encode, "word string, n long, ids array<int>"), "word-table")
+    dropped(docs.sparkSession, words_path)
+    return table, path_of
+
+
+def share(table: DataFrame, path: str) -> Broadcast:
+    """The broadcast of a word table, which has at most SHARED_WORDS rows."""
+    rows = table.select("word", "ids").toArrow().combine_chunks()
+    words, lists = rows.column("word").to_pylist(), rows.column("ids").combine_chunks()
+    if not words:
+        return table.sparkSession.sparkContext.broadcast(Shared(*(np.empty(0, k) for k in (np.uint64, np.int64, np.int32))))
+    keys = codec(path).keys_of(words)
+    order = np.argsort(keys)
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return table.sparkSession.sparkContext.broadcast(Shared(keys[order], sizes[order], lists.take(pa.array(order)).flatten().to_numpy().astype(np.int32)))
+
+
+def shared_codec(path: str, shared: Broadcast | None) -> WordCodec:
+    """The codec of a Python worker for one shared table."""
+    return codec(path) if shared is None else _codec_of(path, shared)
+
+
+_held: list = [None, None]
+
+
+def _codec_of(path: str, shared: Broadcast) -> WordCodec:
+    name = (path, shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else getattr(shared, "_path", id(shared)))
+    if _held[0] != name:
+        _held[:] = [name, WordCodec(path, TABLE_WORDS // 2, shared=shared.value)]
+    return _held[1]
+
+
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shared: Broadcast | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every document; null and empty texts have no ids."""
 
     def run(batches):
         for batch in batches:
-            ids = list(codec(path).encode(batch.column(1).to_pylist()))
+            ids = list(shared_codec(path, shared).encode(batch.column(1).to_pylist()))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["doc_id", "ids"])
@@ -320,12 +448,15 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     between Python and the JVM. Repeated rows give repeated rows; a null doc_id
     stays null.
     """
+    table, table_path = word_table(docs, path)
+    shared = share(table, path)
+    dropped(docs.sparkSession, table_path)
 
     def run(batches):
         table = pieces(path)
         for batch in batches:
             n, of_ids, of_text = [], [], []
-            for ids in codec(path).encode(batch.column(1).to_pylist()):
+            for ids in shared_codec(path, shared).encode(batch.column(1).to_pylist()):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(decode(ids, table).encode()).hexdigest())
