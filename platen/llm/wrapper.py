@@ -53,7 +53,9 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search form a
 CUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related recommended replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 SLOT_TAGS = frozenset(["article", "main"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends outside its quotes, or at the first bracket if they don't close.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S)
+_OPEN = re.compile(r"<[/!?A-Za-z]")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/]|$)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -83,14 +85,19 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, end = 0, len(source)
+    last = source.rfind(">") + 1
     while at < end:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at, last) if at < last else None
         text = source[at : m.start()] if m else source[at:]
+        if not m and (broken := _OPEN.search(text)):  # a tag that never ends
+            text = text[: broken.start()]
         if text:
             stack[-1].children.append(entities.unescape(text))
         if not m:
             break
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break
         if m[1]:
             stack[-1].children.append(m[1])
         if not m[3]:
