@@ -71,7 +71,7 @@ def content_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identity_fonts(streams: DataFrame) -> DataFrame:
     """A font F1 of four-digit codes that stand for themselves, for each page."""
-    codes = F.transform(F.sequence(F.lit(32), F.lit(400)), lambda c: F.lpad(F.hex(c), 4, "0"))
+    codes = F.lit([f"{c:04X}" for c in range(32, 401)])
     return streams.select(*PAGE, F.lit("F1").alias("font"), codes.alias("codes"), codes.alias("values"))
 
 

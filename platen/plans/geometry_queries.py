@@ -165,7 +165,7 @@ def t9_a12_o2_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t10_j8_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as four-digit codes through a map that lacks some; array form and general form side by side."""
     attach(spark)
-    codes = F.transform(F.sequence(F.lit(32), F.lit(122)), lambda c: F.lpad(F.hex(c), 4, "0"))
+    codes = F.lit([f"{c:04X}" for c in range(32, 123)])  # a literal: a computed map would be built anew for each code
     d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode(F.substring("text", 1, 80), "UTF-16BE")).alias("digits"))
     fast = maps.translate_single(F.concat(F.lit("<"), F.col("digits"), F.lit(">")), F.map_from_arrays(codes, codes), 4)
     return d.select("doc_id", fast.alias("text"), maps.translate_udf("digits", codes, codes).alias("general"))
