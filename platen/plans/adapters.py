@@ -62,7 +62,7 @@ def content_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/F1 "), F.col("font_size").cast("string"), F.lit(" Tf")),
         F.concat(F.lit("1 0 0 1 "), F.format_string("%.4f", "x"), F.lit(" "), F.format_string("%.4f", "y"), F.lit(" Tm")),
         F.when(half > 0, F.concat(F.lit("["), code(head), F.lit(" -100] TJ"))),
-        F.concat(F.lit("0 "), F.format_string("%.4f", F.col("y") - 0.25), F.lit(" Td")),
+        F.concat(F.format_string("%.4f", F.when(half > 0, 0.0).otherwise(F.col("x"))), F.lit(" "), F.format_string("%.4f", F.col("y") - F.when(half > 0, 0.25).otherwise(0.0)), F.lit(" Td")),
         F.concat(F.lit("["), F.regexp_replace(F.coalesce(split, code(tail)), "<>", ""), F.lit("] TJ")),
     )
     ordered = F.array_sort(F.collect_list(F.struct("el_idx", lines.alias("l"))))

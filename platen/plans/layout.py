@@ -166,10 +166,10 @@ ORACLES = {
     "o4_o5_samples": _KINDS + " SELECT file_id, page_no, el_idx AS place, substr(trim(text), 1, 60) AS sample FROM kinds WHERE is_header QUALIFY row_number() OVER (PARTITION BY file_id, page_no ORDER BY el_idx) <= 3",
     "p1_text_elements": "WITH " + adapters.LAYOUT_SQL.strip() + " SELECT file_id, page_no, trim(text) AS text, round(x, 3) AS x, round(y, 3) AS y, font_size, width FROM elements WHERE trim(text) <> ''",
     "w1_w2_text_state": _STREAM + """
-      , stated AS (SELECT file_id, page_no, el_idx, half, font_size, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM halves WINDOW w AS (PARTITION BY file_id, page_no ORDER BY el_idx))
+      , stated AS (SELECT file_id, page_no, el_idx, half, font_size, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(half) OVER w AS ph FROM halves WINDOW w AS (PARTITION BY file_id, page_no ORDER BY el_idx))
       , states AS (
-        SELECT file_id, page_no, font_size, x AS sx, round(y, 4) AS sy FROM stated UNION SELECT file_id, page_no, font_size, 0::DOUBLE, round(y - 0.25::DOUBLE, 4) FROM stated
-        UNION SELECT file_id, page_no, font_size, 0::DOUBLE, round(py - 0.25::DOUBLE, 4) FROM stated WHERE py IS NOT NULL)
+        SELECT file_id, page_no, font_size, x AS sx, round(y, 4) AS sy FROM stated UNION SELECT file_id, page_no, font_size, 0::DOUBLE, round(y - 0.25::DOUBLE, 4) FROM stated WHERE half > 0
+        UNION SELECT file_id, page_no, font_size, CASE WHEN ph > 0 THEN 0::DOUBLE ELSE px END, round(py - CASE WHEN ph > 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END, 4) FROM stated WHERE py IS NOT NULL)
       SELECT file_id, page_no, n_lines, with_font, states FROM (SELECT file_id, page_no, sum(CASE WHEN half > 0 THEN 5 ELSE 4 END)::BIGINT AS n_lines, sum(CASE WHEN half > 0 THEN 5 ELSE 4 END)::BIGINT AS with_font FROM halves GROUP BY ALL)
       JOIN (SELECT file_id, page_no, count(*) AS states FROM states GROUP BY ALL) USING (file_id, page_no)""",
     "w3_runs": """WITH RECURSIVE ev AS (SELECT user_id::INT AS page_no, event_type AS chunk, floor(value) / 4 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
