@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from platen.llm.bpe import text_column
 from platen.llm.components import connected_components, contracted
 from platen.llm.shingles import mix, sets_of
-from platen.llm.tables import dropped, stored
+from platen.llm.tables import dropped, small, stored
 
 SLOTS = 1 << 20
 BANDS = 32
@@ -163,7 +163,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
     met, met_path = stored(buckets.join(shared, "bucket"), "buckets")
 
-    involved = texts.join(met.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    wanted, wanted_path = stored(met.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    involved = texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets, set_path = stored(involved.select("doc_id", "text").mapInArrow(_sets(shingle), "node long, n_shingles long, sign binary, shingles binary"), "sets")
 
     stars = met.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -185,7 +186,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
     pairs = open_rows.groupBy("bucket", "band", "left", "right").applyInArrow(_candidates(percent), "a long, b long")
     more, more_path = stored(_confirmed(pairs, sets, percent), "confirmed")
     final, _ = connected_components(first.union(more))
-    dropped(spark, met_path, set_path, link_path, first_path, more_path)
+    dropped(spark, met_path, wanted_path, set_path, link_path, first_path, more_path)
 
     return (
         sketches.select("doc_id", "n_shingles", "key_a", "key_b")
@@ -201,10 +202,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group, the one with the smallest doc_id; of rows that repeat a doc_id, one."""
     groups = near_duplicate_groups(docs, shingle, percent).filter("doc_id is not null")
-    kept, _ = stored(groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).filter("kept"), "kept")
-    single = docs.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    out = single.unionByName(docs.filter("doc_id is null"))
-    repeated = kept.filter("rows > 1").select("doc_id")
+    counted = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    # The rows that go, and those that stand more than once: few beside the others.
+    special, _ = stored(counted.filter("not kept or rows > 1"), "not-kept")
+    single = docs.join(small(special.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    repeated = special.filter("kept").select("doc_id")
     if repeated.isEmpty():
-        return out
-    return out.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return single
+    return single.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from platen.session import shared_folder
 
@@ -19,3 +20,12 @@ def dropped(spark, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of a one-column table of ids that may be broadcast, about 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of ids, to be broadcast if a count shows that it is small; else it is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
