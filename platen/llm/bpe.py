@@ -45,10 +45,10 @@ from pyspark.sql import functions as F
 from platen.llm.tables import dropped, stored
 
 CHUNK = 1 << 20  # characters that are split at once
-TABLE_WORDS = 1_000_000  # distinct words that a table holds, about 200 MB
+TABLE_WORDS = 300_000  # distinct words that a table holds, about 60 MB
 LONG_WORD = 48  # longer words have no place in the table
-SHARED_WORDS = 1_000_000  # rows of the broadcast word table, at most about 50 MB
-FLUSH_WORDS = 300_000  # distinct words that a task counts before it hands them on
+SHARED_WORDS = 400_000  # rows of the broadcast word table, at most about 20 MB
+FLUSH_WORDS = 100_000  # distinct words that a task counts before it hands them on
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -355,6 +355,11 @@ def decode(ids: np.ndarray, table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+def few_rows(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python strings at a time."""
+    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+
 def text_column(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 
@@ -367,7 +372,7 @@ def word_table(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
     """
 
     def count(batches):
-        texts = (t for batch in batches for t in batch.column(0).to_pylist())
+        texts = (t for batch in few_rows(batches) for t in batch.column(0).to_pylist())
         for counts in codec(path).count_words(texts):
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
@@ -412,7 +417,7 @@ _held: list = [None, None]
 def _codec_of(path: str, shared: Broadcast) -> WordCodec:
     name = (path, shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else getattr(shared, "_path", id(shared)))
     if _held[0] != name:
-        _held[:] = [name, WordCodec(path, TABLE_WORDS // 2, shared=shared.value)]
+        _held[:] = [name, WordCodec(path, shared=shared.value)]
     return _held[1]
 
 
@@ -454,7 +459,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         table = pieces(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             n, of_ids, of_text = [], [], []
             for ids in shared_codec(path, shared).encode(batch.column(1).to_pylist()):
                 n.append(len(ids))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.bpe import codec, text_column
+from platen.llm.bpe import codec, few_rows, text_column
 
 WINDOW = 1024
 MIN_POWER = 64
@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
         task = TaskContext.get().partitionId() << 33
 
         def documents():
-            for batch in batches:
+            for batch in few_rows(batches):
                 ids = codec(tokenizer).encode(batch.column(1).to_pylist())
                 for doc, x in zip(batch.column(0).to_pylist(), ids, strict=True):
                     yield doc, np.append(x, end_id).astype("<u4")
