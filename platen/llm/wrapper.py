@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.tables import stored
+from platen.llm.tables import BROADCAST_ROWS, small, stored
 
 EXEMPLARS = 4
 DEPTH = 60  # the alignment goes no deeper; below, all is content
@@ -307,10 +307,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) for each host with at least two distinct pages."""
     slim = pages.select(_host(F.col("url")).alias("host"), "page_id", F.xxhash64("html").alias("hash")).filter("page_id is not null")
     chosen = slim.groupBy("host", F.pmod("hash", F.lit(EXEMPLARS)).alias("slot")).agg(F.min("hash").alias("hash"))
-    chosen = slim.join(chosen, ["host", "hash"]).groupBy("host", "slot", "hash").agg(F.min("page_id").alias("page_id"))
-    # For each host at most EXEMPLARS pages meet in a group.
+    chosen, _ = stored(slim.join(chosen, ["host", "hash"]).groupBy("host", "slot", "hash").agg(F.min("page_id").alias("page_id")), "exemplars")
+    # The pages are not moved to find a few of them, unless there are very many hosts. For each host at most EXEMPLARS pages meet in a group.
     full = pages.select("page_id", F.xxhash64("html").alias("hash"), _host(F.col("url")).alias("host"), "html").filter("length(html) > 0")
-    exemplars = full.join(chosen, ["page_id", "hash", "host"]).select("host", "slot", "html").dropDuplicates(["host", "slot"])
+    exemplars = full.join(small(chosen, BROADCAST_ROWS // 4), ["page_id", "hash", "host"]).select("host", "slot", "html").dropDuplicates(["host", "slot"])
 
     def run(key, table):
         sources = sorted(table.column("html").to_pylist())
