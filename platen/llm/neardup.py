@@ -9,7 +9,7 @@ remaining sets into buckets, and a bucket's pairs are tried in two rounds:
 1. every set against the least one of its bucket;
 2. in buckets whose sets are still in more than one component, all pairs over different
    components whose signatures, LONG coordinates for these sets, agree enough, in
-   blocks of about BLOCK sets. A pair is only tried in the first band where it agrees.
+   blocks of about BLOCK sets. A pair is only tried in the first band whose bucket it shares.
 
 Each link is confirmed on the full sets (100 * intersection >= percent * union).
 Pairs that round 2 leaves out are connected already, so components lose nothing.
@@ -92,12 +92,14 @@ def _sketch(size: int):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            sets, signs = [], []
+            sets, signs, bands = [], [], []
             for s in sets_of(batch.column(1).to_pylist(), size):
+                sign = signature(s, LONG)
                 sets.append(s.tobytes())
-                signs.append((signature(s, LONG) & 255).astype(np.uint8).tobytes())
+                signs.append((sign & 255).astype(np.uint8).tobytes())
+                bands.append(band_keys(sign[:WIDTH]).tobytes())
             n = pa.array([len(s) // 8 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], ["node", "n_shingles", "sign", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(signs, pa.binary()), pa.array(bands, pa.binary()), pa.array(sets, pa.binary())], ["node", "n_shingles", "sign", "keys", "shingles"])
 
     return run
 
@@ -132,6 +134,7 @@ def _candidates(percent: int):
         node, comp, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
         sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(-1, LONG)
         first = np.ascontiguousarray(sign[:, :WIDTH])
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
         found_a, found_b = [], []
         for i in np.flatnonzero(block == left).tolist():
             others = np.flatnonzero((block == right) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
@@ -140,8 +143,8 @@ def _candidates(percent: int):
             others = others[(first[others] == first[i]).sum(axis=1) >= rough]
             others = others[(sign[others] == sign[i]).sum(axis=1) >= fine]
             if len(others):
-                same = (first[others] == first[i]).reshape(-1, BANDS, ROWS).all(axis=2)
-                others = others[same.argmax(axis=1) == band]
+                # By the keys that make the buckets: eight bits of the coordinates may agree where the bucket differs.
+                others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
                 found_a.append(np.minimum(node[i], node[others]))
                 found_b.append(np.maximum(node[i], node[others]))
         empty = np.empty(0, np.int64)
@@ -165,7 +168,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
 
     wanted, wanted_path = stored(met.select(F.col("node").alias("doc_id")).distinct(), "wanted")
     involved = texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets, set_path = stored(involved.select("doc_id", "text").mapInArrow(_sets(shingle), "node long, n_shingles long, sign binary, shingles binary"), "sets")
+    sets, set_path = stored(involved.select("doc_id", "text").mapInArrow(_sets(shingle), "node long, n_shingles long, sign binary, keys binary, shingles binary"), "sets")
 
     stars = met.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links, link_path = stored(_confirmed(stars, sets, percent), "confirmed")
@@ -179,9 +182,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
         placed.join(split, "bucket", "left_semi")
         .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(sets.select("node", "n_shingles", "sign"), "node")
+        .join(sets.select("node", "n_shingles", "sign", "keys"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "component", "n_shingles", "sign")
+        .select("bucket", "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "component", "n_shingles", "sign", "keys")
     )
     pairs = open_rows.groupBy("bucket", "band", "left", "right").applyInArrow(_candidates(percent), "a long, b long")
     more, more_path = stored(_confirmed(pairs, sets, percent), "confirmed")

@@ -4,6 +4,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,25 @@ def test_components_of_chains_and_loops(spark):
     got = {r.node: r.component for r in found.collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 100: 50, 60: 60, 61: 60, 62: 60}
     assert connected_components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
+
+
+def test_every_pair_of_a_bucket_is_tried_once():
+    """Pairs at a similarity of about 0.8 in buckets led by a stranger: round 2 alone can find them."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(2500):
+        words = [str(rnd.getrandbits(40)) for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:54], *(str(rnd.getrandbits(40)) for _ in range(6))])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["node", "text"])
+    sets = pa.Table.from_batches(neardup._sets(1)([batch])).drop_columns(["shingles"])
+    keys = [neardup.band_keys(neardup.signature(s)) for s in neardup.sets_of(texts, 1)]
+    zeros = pa.array([0, 0], pa.int32())
+    try_bucket = neardup._candidates(80)
+    met = 0
+    for i in range(0, len(texts), 2):
+        shared = np.flatnonzero(keys[i] == keys[i + 1]).tolist()
+        rows = sets.slice(i, 2).append_column("component", pa.array([i, i + 1], pa.int64())).append_column("block", zeros)
+        found = [try_bucket([pa.scalar(v) for v in (0, band, 0, 0)], rows).to_pylist() for band in shared]
+        met += bool(shared)
+        assert sum(found, []) == ([{"a": i, "b": i + 1}] if shared else []), i
+    assert met > 2400
