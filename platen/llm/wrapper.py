@@ -2,13 +2,12 @@
 
 Pages become DOM trees (implied end tags, void and raw-text elements, broken
 nesting). Elements whose tag, role, class or id names a menu, header, footer,
-sidebar, notice, advert, form or comment are cut first. For each host up to
-EXEMPLARS pages, spread over its hash range, are aligned by simple tree
-matching: a pair of nodes with one label whose texts are equal on all exemplars
-is template; where they differ, the alignment goes on below, and what differs to the
-end is a slot. A page is aligned with the wrapper of its host in the same way, and what matches
-a template node is dropped; the rest is content. A run of siblings with one
-label is one node of the alignment, so its cost is linear in the page.
+sidebar, notice, advert, form or comment are cut first. Every distinct page of a host
+counts: Spark counts how many pages show a node's label and text at its path of labels,
+and how many have that path at all. What at least SUPPORT of them share, and two at
+least, is template. Paths keep layouts apart: a path that only one layout has is counted
+over its pages alone. On every page a node is aligned with the template of its path, by
+label, text and number among equal siblings; what matches is dropped, and the rest is content.
 
 The text below `article` or `main` is the slot by its markup: where a page has such
 elements, they alone are content, and a passage that its host's pages share is
@@ -22,21 +21,20 @@ an output is read only under its own meaning. `br` is white space in its block.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-import zlib
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.tables import BROADCAST_ROWS, small, stored
+from platen.llm.tables import stored
 
-EXEMPLARS = 4
-DEPTH = 60  # the alignment goes no deeper; below, all is content
-WIDTH = 400  # runs of children that an alignment compares
+SUPPORT = 0.8  # a text is template where this share of a host's pages that have its label path show it there
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,34 +195,56 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def _text(x: Node | str) -> str:
-    return " ".join(x.split()) if isinstance(x, str) else "\n".join(blocks([x]))
+def _hash(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _runs(node: Node) -> list[tuple[str, list]]:
-    """Children by label; neighbours with one label make one run."""
-    out: list[tuple[str, list]] = []
-    for c in node.children:
-        if isinstance(c, str) and not c.strip():
+def _prints(root: Node) -> dict[int, int]:
+    """Prints of all elements by id: equal for equal labels and texts; 0 for an element without text."""
+    out: dict[int, int] = {}
+    pending = [(root, False)]
+    while pending:
+        node, ready = pending.pop()
+        if not ready:
+            pending.append((node, True))
+            pending += [(c, False) for c in node.children if not isinstance(c, str)]
             continue
-        label = "#text" if isinstance(c, str) else f"{c.tag}.{c.name}"
-        if out and out[-1][0] == label:
-            out[-1][1].append(c)
-        else:
-            out.append((label, [c]))
-    return out[:WIDTH] if len(out) > WIDTH else out
+        below = [x for c in node.children if (x := (" ".join(c.split()) if isinstance(c, str) else out[id(c)]))]
+        out[id(node)] = _hash(node.tag, node.name, below) if below else 0
+    return out
 
 
-def _run_print(run: list) -> int:
-    text = "\n".join(t for t in map(_text, run) if t)
-    return zlib.crc32(text.encode()) if text else 0
+def _items(node: Node, path: int, prints: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(slot, item, place) of the children with text: the label path, and the print with its number among equal ones."""
+    out, times, slots_of = [], {}, {}
+    for k, c in enumerate(node.children):
+        label = "#text" if isinstance(c, str) else f"{c.tag}.{c.name}"
+        found = (" ".join(c.split()) if isinstance(c, str) else prints[id(c)]) or None
+        if found is None:
+            continue
+        if label not in slots_of:
+            slots_of[label] = _hash(path, label)
+        n = times[label, found] = times.get((label, found), -1) + 1
+        out.append((slots_of[label], _hash(label, found, n), k))
+    return out
 
 
-def _size(node: dict) -> int:
-    return 1 + sum(map(_size, node["below"]))
+def page_items(source: str) -> tuple[list[int], list[int]]:
+    """Slots and items of all nodes of a page, each pair once."""
+    root = _pruned(parse(source))
+    prints = _prints(root)
+    seen: dict[tuple[int, int], None] = {}
+    pending = [(root, 0)]
+    while pending:
+        node, path = pending.pop()
+        for slot, item, k in _items(node, path, prints):
+            seen[slot, item] = None
+            if not isinstance(node.children[k], str):
+                pending.append((node.children[k], slot))
+    return [k[0] for k in seen], [k[1] for k in seen]
 
 
-def _match(a: list[str], b: list[str], weight) -> list[tuple[int, int]]:
+def _match(a: list, b: list, weight) -> list[tuple[int, int]]:
     """Simple tree matching of two child lists: the heaviest ordered pairs of equal labels."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -245,48 +265,37 @@ def _match(a: list[str], b: list[str], weight) -> list[tuple[int, int]]:
     return out
 
 
-def _sketch(node: Node, depth: int = 0) -> list[dict]:
-    """A tree as a wrapper of its own: label, print of the text, nodes below."""
-    out = []
-    for label, run in _runs(node):
-        below = _sketch(run[0], depth + 1) if len(run) == 1 and isinstance(run[0], Node) and depth < DEPTH and run[0].tag not in SLOT_TAGS else []
-        out.append({"label": label, "print": _run_print(run), "below": below})
+def induce(pages: list[str]) -> dict[int, set[int]]:
+    """The wrapper of pages of one host: the template's items by slot. wrappers() counts the same in Spark."""
+    seen: Counter = Counter()
+    having: Counter = Counter()
+    for page in pages:
+        found, items = page_items(page)
+        seen.update(zip(found, items, strict=True))
+        having.update(set(found))
+    out: dict[int, set[int]] = {}
+    for (slot, item), n in seen.items():
+        if n > 1 and n >= SUPPORT * having[slot]:
+            out.setdefault(slot, set()).add(item)
     return out
 
 
-def merge(a: list[dict], b: list[dict]) -> list[dict]:
-    """The wrapper of two: nodes that align; a print stays where the texts are equal."""
-    sizes = [_size(x) for x in a]
-    others = [_size(x) for x in b]
-    pairs = _match([x["label"] for x in a], [x["label"] for x in b], lambda i, j: min(sizes[i], others[j]) + 2 * (a[i]["print"] == b[j]["print"]))
-    return [{"label": a[i]["label"], "print": a[i]["print"] if a[i]["print"] == b[j]["print"] else None, "below": merge(a[i]["below"], b[j]["below"])} for i, j in pairs]
-
-
-def induce(pages: list[str]) -> list[dict]:
-    """The wrapper of pages of one host."""
-    sketches = [_sketch(_pruned(parse(p))) for p in pages]
-    wrapper = sketches[0]
-    for s in sketches[1:]:
-        wrapper = merge(wrapper, s)
-    return wrapper
+def without_template(root: Node, wrapper: dict[int, set[int]]) -> None:
+    """Drop what aligns with a template node of equal text."""
+    prints = _prints(root)
+    pending = [(root, 0)]
+    while pending:
+        node, path = pending.pop()
+        gone = set()
+        for slot, item, k in _items(node, path, prints):
+            if item in wrapper.get(slot, ()):
+                gone.add(k)
+            elif not isinstance(node.children[k], str):
+                pending.append((node.children[k], slot))
+        node.children = [c for k, c in enumerate(node.children) if k not in gone]
 
 
-def without_template(node: Node, wrapper: list[dict], depth: int = 0) -> None:
-    """Drop what aligns with a template node of equal text."""
-    runs = _runs(node)
-    prints = [_run_print(run) for _, run in runs]
-    sizes = [_size(w) for w in wrapper]
-    gone: set[int] = set()
-    for i, j in _match([label for label, _ in runs], [w["label"] for w in wrapper], lambda i, j: sizes[j] + 2 * (prints[i] == wrapper[j]["print"])):
-        run, w = runs[i][1], wrapper[j]
-        if w["print"] is not None and prints[i] == w["print"]:
-            gone.update(map(id, run))
-        elif len(run) == 1 and isinstance(run[0], Node) and depth < DEPTH:
-            without_template(run[0], w["below"], depth + 1)
-    node.children = [c for c in node.children if id(c) not in gone]
-
-
-def main_text(source: str | None, wrapper: list[dict] | None = None) -> str:
+def main_text(source: str | None, wrapper: dict | None = None) -> str:
     if not source:
         return ""
     root = _pruned(parse(source))
@@ -304,25 +313,32 @@ def _host(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for each host with at least two distinct pages."""
-    slim = pages.select(_host(F.col("url")).alias("host"), "page_id", F.xxhash64("html").alias("hash")).filter("page_id is not null")
-    chosen = slim.groupBy("host", F.pmod("hash", F.lit(EXEMPLARS)).alias("slot")).agg(F.min("hash").alias("hash"))
-    chosen, _ = stored(slim.join(chosen, ["host", "hash"]).groupBy("host", "slot", "hash").agg(F.min("page_id").alias("page_id")), "exemplars")
-    # The pages are not moved to find a few of them, unless there are very many hosts. For each host at most EXEMPLARS pages meet in a group.
-    full = pages.select("page_id", F.xxhash64("html").alias("hash"), _host(F.col("url")).alias("host"), "html").filter("length(html) > 0")
-    exemplars = full.join(small(chosen, BROADCAST_ROWS // 4), ["page_id", "hash", "host"]).select("host", "slot", "html").dropDuplicates(["host", "slot"])
+    """(host, wrapper) for each host whose distinct pages share a template."""
 
-    def run(key, table):
-        sources = sorted(table.column("html").to_pylist())
-        wrapper = json.dumps(induce(sources)) if len(sources) > 1 else None
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([wrapper], pa.string())})
-
-    return exemplars.groupBy("host").applyInArrow(run, "host string, wrapper string").filter("wrapper is not null")
+    def run(batches):
+        for batch in batches:
+            found = [page_items(h) for h in batch.column(2).to_pylist()]
+            columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["host", "hash", "slots", "items"])
+
+    # Of equal pages one counts.
+    full = pages.filter("length(html) > 0").select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("hash"), "html")
+    parsed = full.mapInArrow(run, "host string, hash long, slots array<long>, items array<long>")
+    distinct, _ = stored(parsed.dropDuplicates(["host", "hash"]), "page-items")
+    # Both counts are made in the tasks first, so a hot host is no hot task.
+    having = distinct.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("pages")).filter("pages > 1")
+    nodes = distinct.select("host", F.explode(F.arrays_zip("slots", "items")).alias("n")).select("host", F.col("n.slots").alias("slot"), F.col("n.items").alias("item"))
+    counted = nodes.groupBy("host", "slot", "item").agg(F.count("*").alias("n")).filter("n > 1")
+    template = counted.join(having, ["host", "slot"]).filter(F.col("n") >= SUPPORT * F.col("pages"))
+    return template.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("slot", "item")))).alias("wrapper"))
 
 
 @lru_cache(maxsize=512)
-def _loaded(wrapper: str) -> list[dict]:
-    return json.loads(wrapper)
+def _loaded(wrapper: str) -> dict[int, set[int]]:
+    out: dict[int, set[int]] = {}
+    for row in json.loads(wrapper):
+        out.setdefault(row["slot"], set()).add(row["item"])
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -60,3 +60,9 @@ def test_hosts_and_odd_rows(spark):
     assert got[None, "http://a.com/q"] == "null id\nhere" and got[102, "x"] == "" and got[100, None].startswith("Title")
     assert got[101, "http://b.com/"].startswith("Welcome to the site\nHomeAbout\nonly\npage")
     assert wrapper.extract(pages).count() == len(rows) and wrapper.extract(pages.filter(F.lit(False))).count() == 0
+
+
+def test_template_after_many_runs():
+    """A footer behind more than 400 sibling runs is template as well."""
+    pages = ["".join(f"<p>a{k} of {i}</p><div>b{k} of {i}</div>" for k in range(300)) + "<h6>Foot</h6>" for i in range(4)]
+    assert "Foot" not in wrapper.main_text(pages[0], wrapper.induce(pages))
