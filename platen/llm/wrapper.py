@@ -7,11 +7,11 @@ counts: Spark counts how many pages show a node's label and text at its path of
 and how many have that path at all. What at least SUPPORT of them share, and two at
 least, is template. Paths keep layouts apart: a path that only one layout has is counted
 over its pages alone. On every page a node is aligned with the template of its path, by
-label, text and number among equal siblings; what matches is dropped, and the rest is content.
+label, text and number among equal siblings; what matches is dropped, inside `article` and
+`main` too, and the rest is content.
 
-The text below `article` or `main` is the slot by its markup: where a page has such
-elements, they alone are content, and a passage that its host's pages share is
-kept there. A page whose wrapper would leave nothing keeps its text without the wrapper.
+`article` and `main` are a hint: where they hold at least half of what is left, they
+alone are content. A page whose wrapper would leave nothing keeps its text without the wrapper.
 
 Defined cases: null and empty html give an empty text; a null url counts as one host
 of its own; a host with one distinct page has no wrapper; repeated rows
@@ -295,16 +295,20 @@ def without_template(root: Node, wrapper: dict[int, set[int]]) -> None:
         node.children = [c for k, c in enumerate(node.children) if k not in gone]
 
 
+def _content(root: Node) -> str:
+    """The text, or that of article and main elements where they hold at least half of it."""
+    whole, inner = blocks([root]), blocks(slots(root))
+    return "\n".join(inner if 2 * sum(map(len, inner)) >= sum(map(len, whole)) else whole)
+
+
 def main_text(source: str | None, wrapper: dict | None = None) -> str:
     if not source:
         return ""
     root = _pruned(parse(source))
-    if (found := slots(root)) and (text := "\n".join(blocks(found))):
-        return text
-    plain = "\n".join(blocks([root]))
+    plain = _content(root)
     if wrapper:
         without_template(root, wrapper)
-        return "\n".join(blocks([root])) or plain
+        return _content(root) or plain
     return plain
 
 

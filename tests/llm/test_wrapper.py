@@ -62,6 +62,19 @@ def test_hosts_and_odd_rows(spark):
     assert wrapper.extract(pages).count() == len(rows) and wrapper.extract(pages.filter(F.lit(False))).count() == 0
 
 
+def test_template_inside_articles_and_teasers(spark):
+    """Constant text goes inside article too; teaser cards don't hide a body in a div; each layout has its own template."""
+    one = "<article><h1>T%d</h1><p>Subscribe to our letter</p><p>body %d is the text of this page</p></article>"
+    two = "<article class=card>Teaser</article><article class=card>Other</article><div class=body><p>Long body number %d of the second layout</p></div><div class=legal>Imprint</div>"
+    rows = [(i, f"http://h.com/{i}", one % (i, i) if i < 12 else two % i) for i in range(20)]
+    # A passage that fewer pages share is content, wherever the first few pages show it.
+    rows += [(20 + i, f"http://k.com/{i}", f"<div><p>{'same' if i < 6 else f'own {i}'}</p><p>text {i}</p></div><div class=f>Foot</div>") for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == (f"T{i}\nbody {i} is the text of this page" if i < 12 else f"Long body number {i} of the second layout")
+    assert all(got[20 + i] == f"{'same' if i < 6 else f'own {i}'}\ntext {i}" for i in range(12))
+
+
 def test_template_after_many_runs():
     """A footer behind more than 400 sibling runs is template as well."""
     pages = ["".join(f"<p>a{k} of {i}</p><div>b{k} of {i}</div>" for k in range(300)) + "<h6>Foot</h6>" for i in range(4)]
