@@ -51,12 +51,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AUTHORITY = re.compile(r"[^\s/@<>\"']{1,256}(?::[^\s/@<>\"']{0,256})?@[A-Za-z0-9.-]+(?::[0-9]+)?")
+_AUTHORITY = re.compile(r"[^\s/@<>\"']++@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _CUE_TAIL = re.compile(r"(?:\x20(?:number|no|nr|code|is))?\.?[\x20:#=]{1,4}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IDENTIFIER = re.compile(r"(?=(?:[A-Z-]*[0-9]){5})[A-Z0-9][A-Z0-9-]{4,19}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[\x20]{0,2}[=:][\x20]{0,2}[\"']?(?=[^\s\"']{0,127}[0-9])([^\s\"']{8,128})(?![^\s\"',;])")
+_ASSIGNED = re.compile(r"[\x20]{0,2}[=:][\x20]{0,2}[\"']?")
+_VALUE = re.compile(r"[^\s\"']*+")
+_DIGIT = re.compile(r"[0-9]")
 _KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
@@ -106,7 +108,7 @@ def _iban_end(text: str, at: int) -> int | None:
 def find(text: str) -> list[Span]:
     """(kind, start, end) spans, by kind and start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_floor = dotted_end = spaced_end = 0
+    email_floor = dotted_end = spaced_end = value_end = 0
     for last, (kind, size) in _automaton().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -141,9 +143,11 @@ def find(text: str) -> list[Span]:
             if m:
                 found["address"].append((at, m.end()))
         elif kind == "secret":
-            m = _SECRET.match(text, last + 1)
-            if m:
-                found["secret"].append(m.span(1))
+            m = _ASSIGNED.match(text, last + 1)
+            if m and m.end() >= value_end:  # not within a value that was read already
+                start, value_end = _VALUE.match(text, m.end()).span()
+                if value_end - start >= 8 and _DIGIT.search(text, start, value_end):
+                    found["secret"].append((start, value_end))
         elif at and text[at - 1].isalnum():
             continue
         elif kind == "key":

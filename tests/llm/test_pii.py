@@ -55,6 +55,15 @@ def test_secrets():
     assert pii.redact(text, pii.find(text)) == 'password=<SECRET> token = "<SECRET>" <SECRET> password: none token'
 
 
+def test_long_secrets_and_authorities():
+    for n in (8, 128, 129, 200, 5000):
+        text = f"token=a1{'b' * (n - 2)} end, password: '{'c' * (n - 1)}9' ftp://{'u' * n}:{'p' * n}@h.org/x"
+        assert pii.redact(text, pii.find(text)) == "token=<SECRET> end, password: '<SECRET>' <ADDRESS>/x", n
+    assert pii.find("token=" + "b" * 300) == [] and pii.find("token=a1b2c3d") == []
+    for unit in ("token=", "token=a1", "ftp://u:", "token: "):
+        assert len(pii.find(unit * 100_000)) <= 100_000
+
+
 def test_odd_rows(spark):
     rows = [(1, "a@b.cc", "x"), (1, "a@b.cc", "x"), (None, None, None), (3, "", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
