@@ -79,3 +79,10 @@ def test_template_after_many_runs():
     """A footer behind more than 400 sibling runs is template as well."""
     pages = ["".join(f"<p>a{k} of {i}</p><div>b{k} of {i}</div>" for k in range(300)) + "<h6>Foot</h6>" for i in range(4)]
     assert "Foot" not in wrapper.main_text(pages[0], wrapper.induce(pages))
+
+
+def test_attributes_are_read_by_exact_name():
+    for kept in ('title="a hidden gem"', 'data-hidden="false"', "style=overflow:hidden", 'data-id="share-3"', "data-role=menu", 'alt="class=menu"', "title='id=ad'"):
+        assert wrapper.main_text(f"<div {kept}>text</div>") == "text", kept
+    for cut in ("hidden", 'HIDDEN=""', "title=x hidden", "class=menu", "id = 'share-3'", 'a="b"role="menu"', "aria-hidden=true"):
+        assert wrapper.main_text(f"<p>a</p><div {cut}>text</div>") == "a", cut
