@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
 Both steps are a minimum per node and a join with it, so hot nodes are
-aggregated before the shuffle and skewed joins can be split. Nothing is
+aggregated before the shuffle and salted in the join. Nothing is
 collected but whether a round was the last.
 """
 
@@ -10,19 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.tables import dropped, stored
+from platen.llm.tables import dropped, salted, spread, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    up = salted(both.filter("b > a"), "b")
+    return up.join(spread(least), ["a", "_salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = salted(down, "b").join(spread(least), ["a", "_salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 

@@ -11,11 +11,15 @@ remaining sets into buckets, and a bucket's pairs are tried in two rounds:
    components whose signatures, LONG coordinates for these sets, agree enough, in
    blocks of about BLOCK sets. A pair is only tried in the first band whose bucket it shares.
 
-Each link is confirmed on the full sets (100 * intersection >= percent * union).
+Each link is confirmed on the words of both texts (100 * intersection >= percent * union).
 Pairs that round 2 leaves out are connected already, so components lose nothing.
 At a similarity of 0.8 banding misses a pair with a probability below 7e-5 and
 the signature test of round 2 one below 6e-5; both vanish quickly above.
 
+Texts of one word sequence (128 bits of BLAKE2b over it) are one class, whatever their
+doc_ids. Joins with a class, bucket or leader that many rows share are salted, so a hot one
+is dealt over tables.SALTS tasks.
+
 Defined cases: null, empty and blank texts have empty sets and link with
 nothing; a null doc_id links with nothing and stands alone (component null, kept);
 each row is judged by its own set, so rows that share a doc_id may lie in
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from platen.llm.bpe import text_column
 from platen.llm.components import connected_components, contracted
-from platen.llm.shingles import mix, sets_of
-from platen.llm.tables import dropped, small, stored
+from platen.llm.shingles import common, hashes_of, mix, sequence_key, shingle_set, words_of
+from platen.llm.tables import dropped, salted, small, spread, stored
 
 SLOTS = 1 << 20
 BANDS = 32
@@ -77,10 +81,12 @@ def _sketch(size: int):
     def run(batches):
         for batch in batches:
             n, a, b, bands = [], [], [], []
-            for s in sets_of(batch.column(1).to_pylist(), size):
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(hashes_of(text), size)
+                key = sequence_key(text)
                 n.append(len(s))
-                a.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                a.append(key[0])
+                b.append(key[1])
                 bands.append(band_keys(signature(s)) if len(s) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*bands, np.empty(0, np.int64)])))
@@ -89,40 +95,51 @@ def _sketch(size: int):
     return run
 
 
-def _sets(size: int):
+def _keyed(batches):
+    """(doc_id, text) with the halves of the sequence key."""
+    for batch in batches:
+        keys = [sequence_key(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))], ["doc_id", "text", "key_a", "key_b"])
+
+
+def _signed(size: int):
     def run(batches):
         for batch in batches:
-            sets, signs, bands = [], [], []
-            for s in sets_of(batch.column(1).to_pylist(), size):
+            n, signs, bands = [], [], []
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(hashes_of(text), size)
                 sign = signature(s, LONG)
-                sets.append(s.tobytes())
+                n.append(len(s))
                 signs.append((sign & 255).astype(np.uint8).tobytes())
                 bands.append(band_keys(sign[:WIDTH]).tobytes())
-            n = pa.array([len(s) // 8 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(signs, pa.binary()), pa.array(bands, pa.binary()), pa.array(sets, pa.binary())], ["node", "n_shingles", "sign", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(signs, pa.binary()), pa.array(bands, pa.binary()), batch.column(1)], ["node", "n_shingles", "sign", "keys", "text"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) whose texts are similar enough, stored. Many pairs may share an a: its text goes once to each salt."""
 
     def run(batches):
+        last, words = None, []
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                least, most = sorted((len(x), len(y)))
-                if 100 * least < percent * most:
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, words = a, words_of(x.as_py())
+                one, two, both = common(words, words_of(y.as_py()), size)
+                keep.append(both > 0 and 100 * both >= percent * (one + two - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    # Sizes alone rule out many pairs before any text moves.
+    size_a, size_b = (sets.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    sized = salted(pairs, "b").join(spread(size_a), ["a", "_salt"]).join(size_b, "b")
+    near, near_path = stored(sized.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "_salt"), "near")
+    left = near.select("a", "_salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("text").alias("of_a")), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("text").alias("of_b"))
+    found = stored(near.join(right, "b").join(left, ["a", "_salt"]).select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "confirmed")
+    dropped(pairs.sparkSession, near_path)
+    return found
 
 
 def _candidates(percent: int):
@@ -153,33 +170,48 @@ def _candidates(percent: int):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, key_a, key_b, component, component_id) of every row of docs (doc_id, text).
+
+    component names the component itself: two may share the doc_id that is their component_id.
+    """
     spark = docs.sparkSession
     texts = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    sketches, sketch_path = stored(texts.mapInArrow(_sketch(shingle), SKETCH), "sketches")
+    sketches, sketch_path = stored(texts.mapInArrow(_sketch(shingle), SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+
+    # Equal sequences collapse to one row, the node of their class.
+    usable = F.expr("n_shingles > 0 and doc_id is not null")
+    best = sketches.filter(usable).groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("rows"))
+    copies = best.filter("rows > 1").select("key_a", "key_b", F.col("best.row").alias("node"), F.col("best.doc_id").alias("least"))
+    of_class = salted(sketches, "row").join(spread(copies), ["key_a", "key_b", "_salt"], "left")
+    node = F.when(usable, F.coalesce("node", "row"))
+    placed, placed_path = stored(
+        of_class.select("doc_id", "n_shingles", "key_a", "key_b", node.alias("node"), F.when(usable, F.coalesce("least", "doc_id")).alias("least"), F.when(node == F.col("row"), F.col("bands")).alias("bands")),
+        "classes",
+    )
+    dropped(spark, sketch_path)
 
-    usable = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    nodes = usable.join(classes, ["key_a", "key_b"]).filter("doc_id = node").dropDuplicates(["key_a", "key_b"])
+    nodes = placed.filter("bands is not null")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    met, met_path = stored(buckets.join(shared, "bucket"), "buckets")
+    met, met_path = stored(salted(buckets, "node").join(spread(shared), ["bucket", "_salt"]).drop("_salt"), "buckets")
 
-    wanted, wanted_path = stored(met.select(F.col("node").alias("doc_id")).distinct(), "wanted")
-    involved = texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets, set_path = stored(involved.select("doc_id", "text").mapInArrow(_sets(shingle), "node long, n_shingles long, sign binary, keys binary, shingles binary"), "sets")
+    wanted, wanted_path = stored(nodes.select("node", "doc_id", "key_a", "key_b").join(met.select("node").distinct(), "node", "left_semi"), "wanted")
+    involved = texts.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_keyed, "doc_id long, text string, key_a long, key_b long")
+    one_each = involved.dropDuplicates(["doc_id", "key_a", "key_b"]).join(wanted, ["doc_id", "key_a", "key_b"]).select("node", "text")
+    sets, set_path = stored(one_each.mapInArrow(_signed(shingle), "node long, n_shingles long, sign binary, keys binary, text string"), "sets")
 
     stars = met.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links, link_path = stored(_confirmed(stars, sets, percent), "confirmed")
+    links, link_path = _confirmed(stars, sets, shingle, percent)
     # One contraction is enough here: it only tells which pairs are connected already.
     first, first_path = contracted(links)
 
     labels = first.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    joined = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     open_rows = (
-        placed.join(split, "bucket", "left_semi")
+        salted(joined, "node")
+        .join(spread(split), ["bucket", "_salt"])
         .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .join(sets.select("node", "n_shingles", "sign", "keys"), "node")
@@ -187,29 +219,56 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80)
         .select("bucket", "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "component", "n_shingles", "sign", "keys")
     )
     pairs = open_rows.groupBy("bucket", "band", "left", "right").applyInArrow(_candidates(percent), "a long, b long")
-    more, more_path = stored(_confirmed(pairs, sets, percent), "confirmed")
-    final, _ = connected_components(first.union(more))
-    dropped(spark, met_path, wanted_path, set_path, link_path, first_path, more_path)
-
-    return (
-        sketches.select("doc_id", "n_shingles", "key_a", "key_b")
-        .join(classes, ["key_a", "key_b"], "left")
-        .withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
-        .withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
-        .join(final, "node", "left")
-        .withColumn("component_id", F.coalesce("component", "node"))
-        .select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
-    )
+    more, more_path = _confirmed(pairs, sets, shingle, percent)
+    linked, linked_path = connected_components(first.union(more))
+
+    # A component's id is the least doc_id of its classes, not their least node.
+    least = linked.join(nodes.select("node", "least"), "node")
+    whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    final, _ = stored(salted(linked, "node").join(spread(whole), ["component", "_salt"]).select("node", "component", "component_id"), "components")
+    dropped(spark, met_path, wanted_path, set_path, link_path, first_path, more_path, linked_path)
+    found = salted(placed.drop("bands").withColumn("row", F.monotonically_increasing_id()), "row").join(spread(final), ["node", "_salt"], "left")
+    return found.select("doc_id", "n_shingles", "key_a", "key_b", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least", "doc_id").alias("component_id"))
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    kept = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _grouped(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id; of rows that repeat a doc_id, one."""
-    groups = near_duplicate_groups(docs, shingle, percent).filter("doc_id is not null")
-    counted = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    """docs with one row of each group: the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and word sequence: of rows that repeat both the least by its JSON form
+    stays; a row that shares its doc_id with another text goes only for its own text's sake. Of
+    several texts under a group's smallest doc_id the one with the least sequence key stays. Texts without
+    words and rows without a doc_id are nobody's copies: they stay, each row of them.
+    """
+    groups, groups_path = stored(_grouped(docs, shingle, percent).filter("n_shingles > 0 and doc_id is not null"), "groups")
+    rows = groups.groupBy("doc_id", "key_a", "key_b", "component", "component_id").agg(F.count("*").alias("rows"))
+    # Several texts of one component under one doc_id are rare; only they need a choice.
+    texts = rows.filter("doc_id = component_id").groupBy("component").agg(F.count("*").alias("texts"), F.min(F.struct("key_a", "key_b")).alias("first")).filter("texts > 1").select("component", "first")
+    judged = salted(rows, "doc_id").join(spread(texts), ["component", "_salt"], "left")
+    judged = judged.withColumn("kept", (F.col("doc_id") == F.col("component_id")) & (F.col("first").isNull() | (F.struct("key_a", "key_b") == F.col("first"))))
     # The rows that go, and those that stand more than once: few beside the others.
-    special, _ = stored(counted.filter("not kept or rows > 1"), "not-kept")
-    single = docs.join(small(special.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    repeated = special.filter("kept").select("doc_id")
+    special, _ = stored(judged.filter("not kept or rows > 1").select("doc_id", "key_a", "key_b", "kept"), "not-kept")
+    dropped(docs.sparkSession, groups_path)
+
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index("text")
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+
+    def keyed(batches):
+        for batch in batches:
+            keys = [sequence_key(t) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))], [*names, "key_a", "key_b"])
+
+    marked = docs.toDF(*names).mapInArrow(keyed, f"{schema}, key_a long, key_b long").withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    on = ["doc_id", "key_a", "key_b"]
+    single = marked.join(small(special.drop("kept")), on, "left_anti").select(*names).toDF(*docs.columns)
+    repeated = special.filter("kept").drop("kept")
     if repeated.isEmpty():
         return single
-    return single.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    again = marked.join(small(repeated), on, "left_semi").groupBy(*on).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("_least")).select("_least.*").toDF(*docs.columns)
+    return single.unionByName(again)

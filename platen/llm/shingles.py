@@ -1,22 +1,28 @@
-"""Word shingles of whole texts as sorted 64-bit hashes, by array operations on UTF-8 bytes.
+"""Word shingles of whole texts.
 
 Words are maximal runs without the bytes 0x20 and 0x09 to 0x0D, after A-Z is
 lower-cased. A set holds the distinct runs of `size` words; a text with fewer
 words has its whole sequence as its one shingle; a text without words has none.
-Texts are hashed in blocks of about BLOCK bytes that end at white space.
+
+Signatures and set sizes use 64-bit hashes: a word's is BLAKE2b, so no family of words
+collides by its form. Links and equal texts are decided on the words themselves
+(`common`) and on 128 bits of BLAKE2b over them (`sequence_key`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 20  # bytes that are words at a time
+TABLE_WORDS = 300_000  # word hashes that a worker keeps
 _BASE = np.uint64(0xA0761D6478BD642F)
-_DOWN = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 _MIX = np.uint64(0xE7037ED1A0B428DB)
 _LANES = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_GAPS = b" \t\n\r\x0b\x0c"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,79 +31,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * BLOCK)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, _DOWN)]
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _block_words(parts: list[bytes]) -> list[np.ndarray]:
-    """Word hashes of each part."""
-    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    ends_at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    gap = _IS_SPACE[data]
-    inside = ~gap
-    starts = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
-    ends = np.flatnonzero(gap[1:] & inside[:-1]) + 1
-    up, down = _power(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1])])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX)
-    bounds = np.searchsorted(starts, np.concatenate([[0], ends_at]))
-    return [words[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-
-def _cut(text: bytes) -> list[bytes]:
-    out, at = [], 0
-    while len(text) - at > BLOCK:
+class _Hashes(dict):
+    """Hashes of words; when it is full it starts again, which costs time only."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= TABLE_WORDS:
+            self.clear()
+        known = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = known
+        return known
+
+
+_hashes = _Hashes()
+
+
+def _blocks(text: str | None) -> Iterator[list[bytes]]:
+    """Words, of about BLOCK bytes at a time."""
+    data, at = (text or "").encode(), 0
+    while at < len(data):
         end = at + BLOCK
-        while end < len(text) and not _IS_SPACE[text[end]]:
+        while end < len(data) and data[end] not in _GAPS:
             end += 1
-        out.append(text[at:end])
+        yield data[at:end].lower().split()
         at = end
-    return [*out, text[at:]]
-
-
-def words_of(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """Word hashes of each text, in order."""
-    parts: list[bytes] = []
-    counts: list[int] = []
-    held = 0
-
-    def done():
-        hashed, at = [], 0
-        group: list[bytes] = []
-        size = 0
-        for p in parts:
-            if group and size + len(p) > 2 * BLOCK:
-                hashed += _block_words(group)
-                group, size = [], 0
-            group.append(p)
-            size += len(p)
-        if group:
-            hashed += _block_words(group)
-        for n in counts:
-            yield hashed[at] if n == 1 else np.concatenate(hashed[at : at + n])
-            at += n
 
-    for text in texts:
-        pieces = _cut((text or "").encode())
-        parts += pieces
-        counts.append(len(pieces))
-        held += sum(map(len, pieces))
-        if held >= BLOCK:
-            yield from done()
-            parts, counts, held = [], [], 0
-    yield from done()
+
+def words_of(text: str | None) -> list[bytes]:
+    return [w for block in _blocks(text) for w in block]
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    """Word hashes, in order."""
+    parts = [np.fromiter(map(_hashes.__getitem__, block), np.uint64, len(block)) for block in _blocks(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
+
+
+def sequence_key(text: str | None) -> tuple[int, int]:
+    """Two signed 64-bit halves of a digest of the words in order."""
+    digest = hashlib.blake2b(digest_size=16)
+    for block in _blocks(text):
+        if block:
+            digest.update(b" ".join(block) + b" ")
+    a, b = np.frombuffer(digest.digest(), "<i8").tolist()
+    return a, b
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -113,5 +90,31 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def sets_of(texts: Iterable[str | None], size: int) -> Iterator[np.ndarray]:
-    for words in words_of(texts):
-        yield shingle_set(words, size)
+    for text in texts:
+        yield shingle_set(hashes_of(text), size)
+
+
+def _numbered(ids: np.ndarray, k: int, words: int) -> np.ndarray:
+    """A number for each run of k ids, equal for equal runs."""
+    runs = len(ids) - k + 1
+    out, top = ids[:runs], words
+    for j in range(1, k):
+        if top > (1 << 62) // words:
+            out = np.unique(out, return_inverse=True)[1]
+            top = len(out)
+        out, top = out * words + ids[j : j + runs], top * words
+    return out
+
+
+def common(x: list[bytes], y: list[bytes], size: int) -> tuple[int, int, int]:
+    """Sizes of the two shingle sets and of their intersection, counted on the words."""
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in chain(x, y)), np.int64, len(x) + len(y))
+    k, other = min(len(x), size), min(len(y), size)
+    if k != other or not k:  # no run of one text is as long as one of the other
+        sizes = (len(np.unique(_numbered(part, n, len(number)))) if n else 0 for part, n in ((ids[: len(x)], k), (ids[len(x) :], other)))
+        return *sizes, 0
+    # Numbered together; the runs over the border between the texts are left out.
+    codes = _numbered(ids, k, len(number))
+    a, b = np.unique(codes[: len(x) - k + 1]), np.unique(codes[len(x) :])
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))

@@ -29,3 +29,17 @@ BROADCAST_ROWS = 1_000_000
 def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table of ids, to be broadcast if a count shows that it is small; else it is joined by a shuffle."""
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+#: Tasks over which the rows of one hot key are dealt in a join.
+SALTS = 16
+
+
+def salted(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a column _salt that follows from another one; to be joined with spread(few) on the key and _salt."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
+
+
+def spread(few: DataFrame) -> DataFrame:
+    """Each row of few, which has at most one row of a key, once for each salt."""
+    return few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from platen.llm import neardup
+from platen.llm import neardup, shingles as shingling
+from platen.llm.shingles import common, sets_of, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,8 +91,6 @@ def test_odd_rows(spark):
 
 @pytest.mark.parametrize("size", [1, 4, 5])
 def test_shingle_hashes_count_like_tuples(size):
-    from platen.llm.shingles import sets_of
-
     texts = [t for _, t in planted()] + ["a b c", "A b\x0bc\x1fd e"]
     assert [len(s) for s in sets_of(texts, size)] == [len(shingles(t, size)) for t in texts]
 
@@ -114,8 +113,8 @@ def test_every_pair_of_a_bucket_is_tried_once():
         words = [str(rnd.getrandbits(40)) for _ in range(60)]
         texts += [" ".join(words), " ".join([*words[:54], *(str(rnd.getrandbits(40)) for _ in range(6))])]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["node", "text"])
-    sets = pa.Table.from_batches(neardup._sets(1)([batch])).drop_columns(["shingles"])
-    keys = [neardup.band_keys(neardup.signature(s)) for s in neardup.sets_of(texts, 1)]
+    sets = pa.Table.from_batches(neardup._signed(1)([batch])).drop_columns(["text"])
+    keys = [neardup.band_keys(neardup.signature(s)) for s in sets_of(texts, 1)]
     zeros = pa.array([0, 0], pa.int32())
     try_bucket = neardup._candidates(80)
     met = 0
@@ -126,3 +125,40 @@ def test_every_pair_of_a_bucket_is_tried_once():
         met += bool(shared)
         assert sum(found, []) == ([{"a": i, "b": i + 1}] if shared else []), i
     assert met > 2400
+
+
+def test_words_that_collide_in_polynomials_stay_apart(spark):
+    """A Thue-Morse word and its complement collide in every polynomial hash modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = neardup.near_duplicate_groups(spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_own_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:59], "x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, " ".join(base), "a"), (5, near, "b"), (5, other, "c"), (9, other, "d"), (1, "all of its own", "e"), (7, " ".join(base), "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicate_groups(docs, 4).collect())
+    assert got == [(1, 1, True), (1, 1, True), (5, 1, False), (5, 5, True), (7, 1, False), (9, 5, False)]
+    assert sorted(r.source for r in neardup.without_near_duplicates(docs, 4).collect()) == ["a", "c", "e"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_common_shingles_like_tuples(size):
+    texts = ["", "a", "a b", "a b c", "b a b a b a", "a b c d e f a b c d e f", "f e d c b a", "a b c d x f a b c d e f g"]
+    for x in texts:
+        for y in texts:
+            one, two = shingles(x, size), shingles(y, size)
+            assert common(words_of(x), words_of(y), size) == (len(one), len(two), len(one & two)), (x, y)
+
+
+def test_texts_beyond_a_block(monkeypatch):
+    monkeypatch.setattr(shingling, "BLOCK", 7)
+    texts = [t for _, t in planted(seed=4)] + ["x" * 50 + " y" * 20]
+    assert [len(s) for s in sets_of(texts, 4)] == [len(shingles(t, 4)) for t in texts]
+    assert shingling.sequence_key("A  b c d e f g h i") == shingling.sequence_key("a b c d e f g h i") != shingling.sequence_key("a b c d e f g h i j")
+    long = " ".join(f"w{i % 7919}" for i in range(400_000))
+    monkeypatch.undo()
+    assert [len(s) for s in sets_of([long], 4)] == [len(shingles(long, 4))]
