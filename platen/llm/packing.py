@@ -9,7 +9,7 @@ same rows again.
 
 At the end of a task the windows still open are cut and joined into full ones;
 what is left (less than one window) is cut into powers of two, which need no
-padding, down to MIN_POWER; only a rest below that is padded.
+padding.
 
 Defined cases: a null or empty text is a document of its end id alone; repeated
 rows are packed once for each row; a null doc_id stays null; an empty table
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from platen.llm.bpe import codec, few_rows, text_column
 
 WINDOW = 1024
-MIN_POWER = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -77,7 +76,7 @@ class SumOfSquares:
         for doc, start, ids, tokens in pieces:
             while len(ids):
                 if not need:
-                    need = self.window if left >= self.window else 1 << (left.bit_length() - 1) if left >= MIN_POWER else left
+                    need = self.window if left >= self.window else 1 << (left.bit_length() - 1)
                 take = min(need, len(ids))
                 held.append((doc, start, ids[:take], tokens))
                 ids, start, need, left = ids[take:], start + take, need - take, left - take
