@@ -1,14 +1,19 @@
 """Byte-level BPE through a distinct-word table.
 
 The pre-tokeniser of a byte-level BPE cuts a text into words and merges never
-cross a word, so equal words always get equal ids. `word_table` splits all
-texts, counts their distinct words in Spark and encodes each of them once with
-the tokenizers library; `encode_documents` joins the ids back by position. The
-table is shared with the tasks by broadcast, so it has a bound: of more than
-SHARED_WORDS words the most frequent ones go there, and a task encodes the others into
-a table of its own, once each. A `WordCodec` without a shared table does it all
-that way. The split, the look-up key and the positional join are array
-operations; the library only ever sees distinct words.
+cross a word, so equal words always get equal ids. Documents are numbered in chunks of
+about DICTIONARY_CHARS characters, each within the task that reads it. `dictionaries` splits all
+texts, sorts the distinct words of all chunks together in Spark, encodes each distinct word once
+with the tokenizers library and hands every chunk its words with their ids, as files in
+the shared folder. The tasks that read the documents again join the ids back by position, from
+their chunk's dictionary. Decoding goes the same way: the distinct ids of a chunk are
+joined with the id-to-piece table, and pieces are put in place by position. A word
+that its chunk's dictionary lacks (a plan that deals rows differently the second time)
+is encoded on the spot, so results never depend on the numbering.
+
+A `WordCodec` by itself keeps a bounded table of the words that a task has met. The split and
+the positional join are array operations; words that share a look-up key are
+compared, and the library only ever sees distinct words.
 
 Split rules (those of the library's byte-level pre-tokeniser):
 
@@ -38,17 +43,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.tables import dropped, stored
+from platen.session import shared_folder
 
 CHUNK = 1 << 20  # characters that are split at once
-TABLE_WORDS = 300_000  # distinct words that a table holds, about 60 MB
-LONG_WORD = 48  # longer words have no place in the table
-SHARED_WORDS = 400_000  # rows of the broadcast word table, at most about 20 MB
-FLUSH_WORDS = 100_000  # distinct words that a task counts before it hands them on
+TABLE_WORDS = 300_000  # distinct words that a task's own table holds, about 80 MB
+LONG_WORD = 48  # longer words have no place in that table
+DICTIONARY_CHARS = 16 << 20  # bytes of text that share a dictionary
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -75,28 +82,12 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-class Shared:
-    """A word table for all tasks: sorted keys, and the sizes and ids of their words."""
-
-    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.keys, self.sizes, self.ids = keys, sizes, ids
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys, -1 for those that are not there."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-
 class WordCodec:
     """Encodes texts as the tokenizers library does, each distinct word once."""
 
-    def __init__(self, path: str, table_words: int = TABLE_WORDS, chunk: int = CHUNK, shared: Shared | None = None) -> None:
+    def __init__(self, path: str, table_words: int = TABLE_WORDS, chunk: int = CHUNK) -> None:
         from tokenizers import Tokenizer
 
-        self.shared = shared or Shared(*(np.empty(0, k) for k in (np.uint64, np.int64, np.int32)))
-
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -110,13 +101,10 @@ class WordCodec:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[str, int] = {}
         self.lost = 0
-        shared = self.shared
-        self.pool, self.used = np.concatenate([shared.ids, np.empty(1 << 16, np.int32)]), len(shared.ids)
-        room = np.zeros(1 << 14, np.int64)
-        self.at = np.concatenate([np.cumsum(shared.sizes) - shared.sizes, room])
-        self.size = np.concatenate([shared.sizes, room])
+        self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _class_of(self, char: str) -> int:
         for kind, side in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
@@ -160,53 +148,62 @@ class WordCodec:
         np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words as the split gives them."""
         merge, letters = self.model.tokenize, self.letters
-        coded = [[t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        slot, total = len(self.shared.keys) + len(self.slots) + self.lost, int(sizes.sum())
-        while slot + len(words) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+        return [[t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words]
+
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        slot, total = len(self.slots) + self.lost, len(ids)
+        if slot + len(words) > len(self.at):
+            room = max(2 * len(self.at), slot + len(words))
+            self.at, self.size = np.resize(self.at, room), np.resize(self.size, room)
         if self.used + total > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool) + total)
-        self.slots.update(zip(keys, range(slot, slot + len(keys)), strict=True))
-        self.size[slot : slot + len(keys)] = sizes
-        self.at[slot : slot + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), np.int32, total)
+        self.slots.update(zip(words, range(slot, slot + len(words)), strict=True))
+        self.size[slot : slot + len(words)] = sizes
+        self.at[slot : slot + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + total] = ids
         self.used += total
 
-    def keys_of(self, words: list[str]) -> np.ndarray:
-        """The look-up keys of words."""
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        return self._keys(points, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+    def load(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Start again with a dictionary: distinct words, their numbers of ids, and all ids in a row."""
+        self._reset()
+        self._add(words, sizes, ids)
 
-    def count_words(self, texts: Iterable[str | None]) -> Iterator[dict[str, int]]:
-        """Counts of distinct words, of bounded numbers of them at a time."""
-        words: dict[int, str] = {}
-        counts: dict[int, int] = {}
+    def _distinct(self, whole: str, points: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The distinct words, and for each word its number among them."""
+        ends = np.append(starts[1:], len(points))
+        _, where, back = np.unique(self._keys(points, starts, ends), return_index=True, return_inverse=True)
+        lo, hi = starts[where].tolist(), ends[where].tolist()
+        words = [whole[a:b] for a, b in zip(lo, hi, strict=True)]
+        # Keys may collide: every word is compared with the one that its key stands for.
+        sizes, first = ends - starts, where[back]
+        other = np.arange(len(points)) + np.repeat(starts[first] - starts, sizes)
+        differ = points[np.minimum(other, len(points) - 1)] != points
+        odd = np.flatnonzero((sizes != sizes[first]) | np.logical_or.reduceat(differ, starts)).tolist()
+        if odd:
+            number = {w: k for k, w in enumerate(words)}
+            for i in odd:
+                w = whole[starts[i] : ends[i]]
+                back[i] = number.setdefault(w, len(number))
+            words = list(number)
+        return words, back
+
+    def distinct_words(self, texts: Iterable[str | None]) -> set[str]:
+        """All words of texts."""
+        out: set[str] = set()
         group: list[str] = []
+        held = 0
 
         def add() -> None:
-            whole = "".join(group)
-            if not whole:
-                return
-            edges = np.cumsum([0, *map(len, group)])[:-1]
-            points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-            first = np.zeros(len(points), bool)
-            first[edges] = True
-            starts = self.word_starts(points, first)
-            ends = np.append(starts[1:], len(points))
-            short = ends - starts <= LONG_WORD
-            starts, ends = starts[short], ends[short]
-            distinct, where, n = np.unique(self._keys(points, starts, ends), return_index=True, return_counts=True)
-            for k, a, b, c in zip(distinct.tolist(), starts[where].tolist(), ends[where].tolist(), n.tolist(), strict=True):
-                if k in counts:
-                    counts[k] += c
-                else:
-                    counts[k], words[k] = c, whole[a:b]
+            if held:
+                whole = "".join(group)
+                points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+                first = np.zeros(len(points), bool)
+                first[np.cumsum([0, *map(len, group)])[:-1]] = True
+                out.update(self._distinct(whole, points, self.word_starts(points, first))[0])
 
-        held = 0
         for text in texts:
             for piece in self._cuts(text or ""):
                 if isinstance(piece, str):
@@ -215,11 +212,8 @@ class WordCodec:
                     if held >= self.chunk:
                         add()
                         group, held = [], 0
-            if len(counts) >= FLUSH_WORDS:
-                yield {words[k]: c for k, c in counts.items()}
-                words, counts = {}, {}
         add()
-        yield {words[k]: c for k, c in counts.items()}
+        return out
 
     def encode_parts(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of each part; parts are encoded apart from one another."""
@@ -232,28 +226,22 @@ class WordCodec:
         first = np.zeros(len(points), bool)
         first[edges[:-1][lengths > 0]] = True
         starts = self.word_starts(points, first)
-        ends = np.append(starts[1:], len(points))
-        keys = self._keys(points, starts, ends)
-        far = ends - starts > LONG_WORD
-        if far.any():  # such words are told apart by their place
-            keys[far] = _mixed(starts[far].astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slots) + self.lost + len(distinct) > max(self.table_words, 2 * len(distinct)):
+        words, back = self._distinct(whole, points, starts)
+        if len(self.slots) + self.lost + len(words) > max(self.table_words, 2 * len(words)):
             self._reset()
-        slots = self.shared.find(distinct)
-        own = np.flatnonzero(slots < 0)
-        listed, get = distinct[own].tolist(), self.slots.get
-        new = [i for i, k in enumerate(listed) if get(k) is None]
+        new = [w for w in words if w not in self.slots]
         if new:
-            lo, hi = starts[where[own]].tolist(), ends[where[own]].tolist()
-            self._learn([listed[i] for i in new], [whole[lo[i] : hi[i]] for i in new])
-        slots[own] = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
+            coded = self.encode_words(new)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            self._add(new, sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())))
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         sizes, at = self.size[slots][back], self.at[slots][back]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(at - offsets[:-1], sizes) + np.arange(offsets[-1])]
-        for k in keys[far].tolist():  # their slots stay unused until the table starts again
-            del self.slots[k]
-            self.lost += 1
+        for w in new:
+            if len(w) > LONG_WORD:  # its slot stays unused until the table starts again
+                del self.slots[w]
+                self.lost += 1
         bounds = offsets[np.searchsorted(starts, edges)]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -350,7 +338,7 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
-def decode(ids: np.ndarray, table: list[bytes]) -> str:
+def decode(ids: np.ndarray, table: list[bytes] | dict[int, bytes]) -> str:
     """Text of ids: the pieces are joined by id; broken UTF-8 is replaced."""
     return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
@@ -364,107 +352,180 @@ def text_column(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def word_table(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """(word, n, ids) of the distinct words of docs (text), each encoded once; and the path of the stored table.
+def _numbered(batches: Iterable[pa.RecordBatch], column: int, chars: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of the batches with the number of their chunk."""
+    chunk, held = (TaskContext.get().partitionId() << 24) + 1, 0
+    for rows in few_rows(batches):
+        if held >= chars:
+            chunk, held = chunk + 1, 0
+        yield chunk, rows
+        held += rows.column(column).nbytes
+
+
+def _by_chunk(rows: DataFrame, name: str) -> str:
+    """Write rows with a column chunk, one folder for each chunk; return the path."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
+    return path
+
+
+def _of_chunk(path: str, chunk: int, columns: list[str]) -> pa.Table | None:
+    """The rows of a chunk, read by the task that needs them."""
+    if path.startswith("file:"):
+        path = path[5:].replace("//", "/", 1) if path.startswith("file://") else path[5:]
+    fs, root = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+    found = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/chunk={chunk}", allow_not_found=True))
+    tables = []
+    for info in found:
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                tables.append(pq.ParquetFile(f).read(columns))
+    return pa.concat_tables(tables).combine_chunks() if tables else None
 
-    Of more than SHARED_WORDS words those that occur most often are kept. Words
-    of more than LONG_WORD characters are left out: tasks encode them.
-    """
 
-    def count(batches):
-        texts = (t for batch in few_rows(batches) for t in batch.column(0).to_pylist())
-        for counts in codec(path).count_words(texts):
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def coded_words(path: str):
+    """An Arrow function from (chunk, word), sorted by word, to (chunk, word, ids): each distinct word is encoded once."""
 
-    def encode(batches):
-        library = codec(path).library
+    def run(batches):
+        last, ids = None, []
         for batch in batches:
-            ids = [e.ids for e in library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            words, chosen, new = batch.column(1).to_pylist(), [], []
+            for w in words:
+                if w != last:
+                    new.append(w)
+                    last = w
+                chosen.append(len(new))  # 0: the last word of the batch before
+            coded = [ids, *codec(path).encode_words(new)]
+            ids = coded[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([coded[k] for k in chosen], pa.list_(pa.int32()))], ["chunk", "word", "ids"])
+
+    return run
+
+
+def dictionaries(texts: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> str:
+    """Store (chunk, word, ids) of texts (text): the distinct words of each chunk, each distinct word of all encoded once."""
+
+    def split(batches):
+        held, words = None, set()
+        for chunk, rows in _numbered(batches, 0, chars):
+            if chunk != held and words:
+                yield from _words_of(held, words)
+                words = set()
+            held = chunk
+            words |= codec(path).distinct_words(rows.column(0).to_pylist())
+        yield from _words_of(held, words)
+
+    # A word stands once for each chunk, so even the most frequent one is no hot key, and all its rows are neighbours.
+    words = text_column(texts.select("text")).mapInArrow(split, "chunk long, word string").repartition("word").sortWithinPartitions("word")
+    return _by_chunk(words.mapInArrow(coded_words(path), "chunk long, word string, ids array<int>"), "dictionaries")
+
+
+def _words_of(chunk: int | None, words: set[str]) -> Iterator[pa.RecordBatch]:
+    listed = list(words)
+    for k in range(0, len(listed), 50_000):
+        part = listed[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], ["chunk", "word"])
 
-    words, words_path = stored(text_column(docs.select("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    least = 0
-    if words.count() > SHARED_WORDS:
-        # Every row of this is one frequency: the least one whose words still fit.
-        held = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-        rows = words.groupBy("n").count().withColumn("held", F.sum("count").over(held)).filter(F.col("held") <= SHARED_WORDS).agg(F.min("n")).first()
-        least = rows[0] if rows[0] is not None else (1 << 62)
-    table, path_of = stored(words.filter(F.col("n") >= least).mapInArrow(encode, "word string, n long, ids array<int>"), "word-table")
-    dropped(docs.sparkSession, words_path)
-    return table, path_of
 
+def piece_tables(ids: DataFrame, path: str) -> str:
+    """Store (chunk, id, piece) for the distinct ids of each chunk of ids (chunk, id), by a join with the id-to-piece table."""
+    table = pieces(path)
+    # Its size is that of the vocabulary, so it is broadcast.
+    rows = ids.sparkSession.createDataFrame(pa.table({"id": pa.array(range(len(table)), pa.int32()), "piece": pa.array(table, pa.binary())}))
+    return _by_chunk(ids.distinct().join(F.broadcast(rows), "id").select("chunk", "id", "piece"), "pieces")
 
-def share(table: DataFrame, path: str) -> Broadcast:
-    """The broadcast of a word table, which has at most SHARED_WORDS rows."""
-    rows = table.select("word", "ids").toArrow().combine_chunks()
-    words, lists = rows.column("word").to_pylist(), rows.column("ids").combine_chunks()
-    if not words:
-        return table.sparkSession.sparkContext.broadcast(Shared(*(np.empty(0, k) for k in (np.uint64, np.int64, np.int32))))
-    keys = codec(path).keys_of(words)
-    order = np.argsort(keys)
-    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    return table.sparkSession.sparkContext.broadcast(Shared(keys[order], sizes[order], lists.take(pa.array(order)).flatten().to_numpy().astype(np.int32)))
 
+class _Loaded:
+    """The dictionary and the pieces of the chunk that a task reads."""
 
-def shared_codec(path: str, shared: Broadcast | None) -> WordCodec:
-    """The codec of a Python worker for one shared table."""
-    return codec(path) if shared is None else _codec_of(path, shared)
+    def __init__(self, path: str, words: str | None, parts: str | None) -> None:
+        self.path, self.words, self.parts, self.chunk = path, words, parts, None
+        self.codec = WordCodec(path) if words else None
 
+    def at(self, chunk: int) -> _Loaded:
+        if chunk != self.chunk:
+            self.chunk, self.piece = chunk, _Pieces(self.path)
+            if self.words and (table := _of_chunk(self.words, chunk, ["word", "ids"])):
+                lists = table.column("ids").combine_chunks()
+                self.codec.table_words = TABLE_WORDS + len(lists)
+                self.codec.load(table.column("word").to_pylist(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy())
+            if self.parts and (table := _of_chunk(self.parts, chunk, ["id", "piece"])):
+                self.piece.update(zip(table.column("id").to_pylist(), table.column("piece").to_pylist(), strict=True))
+        return self
 
-_held: list = [None, None]
 
+class _Pieces(dict):
+    """Pieces by id; one that no dictionary word holds (an added token) comes from the vocabulary."""
 
-def _codec_of(path: str, shared: Broadcast) -> WordCodec:
-    name = (path, shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else getattr(shared, "_path", id(shared)))
-    if _held[0] != name:
-        _held[:] = [name, WordCodec(path, shared=shared.value)]
-    return _held[1]
+    def __init__(self, path: str) -> None:
+        self.path = path
 
+    def __missing__(self, i: int) -> bytes:
+        piece = self[i] = pieces(self.path)[i]
+        return piece
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shared: Broadcast | None = None) -> DataFrame:
+
+def _documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return text_column(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+
+
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", chars: int = DICTIONARY_CHARS) -> DataFrame:
     """(doc_id, ids array<int>) of every document; null and empty texts have no ids."""
+    texts = _documents(docs, doc_id, text)
+    words = dictionaries(texts.select("text"), path, chars)
 
     def run(batches):
-        for batch in batches:
-            ids = list(shared_codec(path, shared).encode(batch.column(1).to_pylist()))
+        loaded = _Loaded(path, words, None)
+        for chunk, rows in _numbered(batches, 1, chars):
+            ids = list(loaded.at(chunk).codec.encode(rows.column(1).to_pylist()))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+            flat = np.concatenate([np.empty(0, np.int32), *ids])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
-    return text_column(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_documents(coded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids) through the id-to-piece table."""
+def decode_documents(coded: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids), through the join of each chunk's ids with their pieces; null ids give an empty text."""
+    rows = coded.select("doc_id", F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+
+    def listed(batches):
+        for chunk, part in _numbered(batches, 1, chars):
+            found = pc.unique(part.column(1).flatten())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), found], ["chunk", "id"])
+
+    parts = piece_tables(rows.mapInArrow(listed, "chunk long, id int"), path)
 
     def run(batches):
-        table = pieces(path)
-        for batch in batches:
-            texts = [decode(np.asarray(x or [], np.int64), table) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        loaded = _Loaded(path, None, parts)
+        for chunk, part in _numbered(batches, 1, chars):
+            table = loaded.at(chunk).piece
+            texts = [decode(np.asarray(x, np.int64), table) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> DataFrame:
     """One row per document: number of ids, and digests of the ids and of the text decoded from them.
 
     Equals encode_documents followed by decode_documents without moving ids
     between Python and the JVM. Repeated rows give repeated rows; a null doc_id
     stays null.
     """
-    table, table_path = word_table(docs, path)
-    shared = share(table, path)
-    dropped(docs.sparkSession, table_path)
+    texts = _documents(docs)
+    words = dictionaries(texts.select("text"), path, chars)
+    known = texts.sparkSession.read.schema("word string, ids array<int>, chunk long").parquet(words)
+    parts = piece_tables(known.select("chunk", F.explode("ids").alias("id")), path)
 
     def run(batches):
-        table = pieces(path)
-        for batch in few_rows(batches):
+        loaded = _Loaded(path, words, parts)
+        for chunk, rows in _numbered(batches, 1, chars):
             n, of_ids, of_text = [], [], []
-            for ids in shared_codec(path, shared).encode(batch.column(1).to_pylist()):
+            for ids in loaded.at(chunk).codec.encode(rows.column(1).to_pylist()):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(decode(ids, table).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                of_text.append(hashlib.sha256(decode(ids, loaded.piece).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

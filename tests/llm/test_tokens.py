@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,10 +46,35 @@ def test_random_texts(library):
         assert all(a.tolist() == ids_of(library, t) for a, t in zip(coded, texts, strict=True))
 
 
-@pytest.mark.parametrize("shared_words", [1_000_000, 20, 0])
-def test_round_trip(spark, docs, library, monkeypatch, shared_words):
-    monkeypatch.setattr(bpe, "SHARED_WORDS", shared_words)
-    got = bpe.round_trip_digests(docs, tokenizer_path()).collect()
+def test_words_of_one_key_are_told_apart(monkeypatch, library):
+    monkeypatch.setattr(bpe.WordCodec, "_keys", lambda self, points, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["a bb ccc dd a bbb é bb", *ODD]
+    assert [x.tolist() for x in bpe.WordCodec(tokenizer_path()).encode(texts)] == [ids_of(library, t) for t in texts]
+
+
+def test_each_distinct_word_is_encoded_once(monkeypatch, library):
+    seen = []
+    encode = bpe.WordCodec.encode_words
+    monkeypatch.setattr(bpe.WordCodec, "encode_words", lambda self, words: seen.extend(words) or encode(self, words))
+    words = sorted([" the"] * 5 + [" a"] * 3 + ["é", "x" * 500, "x" * 500])
+    batches = [pa.RecordBatch.from_pydict({"chunk": list(range(k, k + len(part))), "word": part}) for k in range(0, len(words), 2) if (part := words[k : k + 2])]
+    rows = [r for b in bpe.coded_words(tokenizer_path())(iter(batches)) for r in b.to_pylist()]
+    assert [r["word"] for r in rows] == words and seen == sorted(set(words))
+    assert all(r["ids"] == ids_of(library, r["word"]) for r in rows)
+
+
+@pytest.fixture
+def two_rows_a_batch(spark):
+    """Small batches, so that a task's rows lie in several chunks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("chars", [1 << 24, 1])
+def test_round_trip(spark, docs, library, two_rows_a_batch, chars):
+    docs = docs.coalesce(2)
+    got = bpe.round_trip_digests(docs, tokenizer_path(), chars).collect()
     want = []
     for r in docs.collect():
         ids = ids_of(library, r.text)
@@ -58,12 +84,29 @@ def test_round_trip(spark, docs, library, monkeypatch, shared_words):
     assert bpe.round_trip_digests(docs.filter(F.lit(False)), tokenizer_path()).count() == 0
 
 
-def test_decode_gives_the_texts_back(spark, docs):
-    back = bpe.decode_documents(bpe.encode_documents(docs, tokenizer_path()), tokenizer_path()).collect()
+def test_decode_gives_the_texts_back(spark, docs, two_rows_a_batch):
+    back = bpe.decode_documents(bpe.encode_documents(docs, tokenizer_path(), chars=1), tokenizer_path(), chars=1).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(r.doc_id), r.text or "") for r in docs.collect())
 
 
-def check_pieces(rows, expected, window=1024):
+def test_words_without_a_dictionary_are_encoded_all_the_same(library, tmp_path):
+    loaded = bpe._Loaded(tokenizer_path(), f"file://{tmp_path}/none", f"{tmp_path}/none").at(7)
+    assert [x.tolist() for x in loaded.codec.encode(ODD)] == [ids_of(library, t) for t in ODD]
+    assert bpe.decode(np.array(ids_of(library, ODD[6])), loaded.piece) == ODD[6]
+
+
+def test_texts_of_several_megabytes(spark, library):
+    rnd = random.Random(4)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 9))) for _ in range(700_000))
+    rows = spark.createDataFrame([(1, long), (2, "x" * 300_000), (3, "a")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.round_trip_digests(rows, tokenizer_path()).collect()}
+    ids = ids_of(library, long)
+    assert got[1].n_tokens == len(ids) and got[1].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert got[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(b"x" * 300_000).hexdigest()
+    check_pieces(packing.pack_documents(rows, tokenizer_path()).filter("doc_id <> 2").collect(), {1: [*ids, 0], 3: [*ids_of(library, "a"), 0]}, strict=False)
+
+
+def check_pieces(rows, expected, window=1024, strict=True):
     """Every id lies in one piece; sequences have no gap and are full but for powers of two and few others."""
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -77,7 +120,7 @@ def check_pieces(rows, expected, window=1024):
             at += p.length
         assert at == len(ids)
     padding = 0
-    for pieces in by_sequence.values():
+    for pieces in by_sequence.values() if strict else ():
         at = 0
         for p in sorted(pieces, key=lambda p: p.offset):
             assert p.offset == at
@@ -91,7 +134,7 @@ def test_packing(spark, library):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     expected = {r.doc_id: [*ids_of(library, r.text), 0] for r in table.collect()}
     rows = packing.pack_documents(table, tokenizer_path()).collect()
-    assert check_pieces(rows, expected) < 0.02
+    assert check_pieces(rows, expected) == 0
 
 
 def test_packing_odd_rows(spark, docs, library):
@@ -152,3 +195,10 @@ def test_empty_token_file(spark, docs, tmp_path):
     assert token_output.token_digests(spark, path).count() == 0
     with pytest.raises(ValueError):
         token_output.write_tokens(docs, tokenizer_path(), path, encoding="plain")
+
+
+def test_rest_of_a_task_needs_no_padding():
+    """Three documents of 300, 300 and 437 ids: one window and powers of two."""
+    sequences = list(packing.pack((k, np.zeros(n, np.uint32)) for k, n in enumerate((300, 300, 437))))
+    sizes = [sum(len(p[2]) for p in s) for s in sequences]
+    assert sizes == [1024, 8, 4, 1]
