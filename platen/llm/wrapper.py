@@ -1,20 +1,28 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Pages become DOM trees (implied end tags, void and raw-text elements, broken
-nesting). Elements whose tag, role, class or id names a menu, header, footer,
-sidebar, notice, advert, form or comment are cut first. Every distinct page of a host
-counts: Spark counts how many pages show a node's label and text at its path of labels,
-and how many have that path at all. What at least SUPPORT of them share, and two at
-least, is template. Paths keep layouts apart: a path that only one layout has is counted
-over its pages alone. On every page a node is aligned with the template of its path, by
-label, text and number among equal siblings; what matches is dropped, inside `article` and
-`main` too, and the rest is content.
-
-`article` and `main` are a hint: where they hold at least half of what is left, they
-alone are content. A page whose wrapper would leave nothing keeps its text without the wrapper.
-
-Defined cases: null and empty html give an empty text; a null url counts as one host
-of its own; a host with one distinct page has no wrapper; repeated rows
+nesting). Elements whose tag or role is that of a menu, header, footer, sidebar, notice,
+advert, form or comment go first, and so do those that a class or id names as such, unless they
+hold a first or second heading or the article itself.
+
+Each page's tree is folded: inline elements are text of their block, and neighbours of one label
+(tag, class and id) are one node, whose children are aligned. The trees of a host, each
+distinct one once with the number of its pages, are then merged by simple tree matching:
+of two nodes of equal label the children are paired in order so that most nodes match, and
+what has no partner stands beside the others. Merging goes in rounds of at most GROUP trees,
+so a hot host is no hot task. Every page of the host is aligned with the merged tree by the
+same matching, and Spark counts, over all pages with distinct texts, how many show a text
+at a node. A text is template where at least SUPPORT of the pages that have the node show
+it, and MIN_PAGES at least; the rest of a node is a slot. On every page the template's texts
+go, inside `article` and `main` too, and what the slots hold is content. Texts are
+compared by 128 bits of BLAKE2b.
+
+`article` and `main` are a hint among the slots: where they hold at least half of what is
+left, they alone are content.
+
+Defined cases: null and empty html give an empty text, and so does a page that shows
+nothing but its template; a null url counts as one host of its own; a host with fewer than MIN_PAGES
+distinct pages has no wrapper; repeated rows
 give repeated rows; a null page_id stays null; an empty table gives no rows; a column named like
 an output is read only under its own meaning. `br` is white space in its block.
 """
@@ -23,18 +31,23 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.tables import stored
+from platen.llm.tables import dropped, salted, spread, stored
 
-SUPPORT = 0.8  # a text is template where this share of a host's pages that have its label path show it there
+SUPPORT = 0.8  # a text is template where this share of a host's pages that have its node show it there,
+MIN_PAGES = 3  # and so many pages at least
+GROUP = 64  # trees that a task merges in a round
+TABLE_CELLS = 1 << 22  # of a matching that is kept whole; longer lists are halved first, with the same result
+BROADCAST_BYTES = 32 << 20  # wrappers that are joined by broadcast
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +62,8 @@ SCOPES = frozenset("ul ol dl table body html article section div main aside nav
 CUT_TAGS = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg dialog menu object canvas audio video noframes title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 CUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related recommended replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Words that say what kind of box it is, not what stands in it: "related-posts" is named by "related".
+BOX_WORDS = frozenset("area articles bar block body bottom box button buttons col column container content count feed form group head icons inner item items left link links list main outer page panel post posts right row section site slot stories text thread title top unit wrap wrapper".split())
 SLOT_TAGS = frozenset(["article", "main"])
 
 #: A tag ends outside its quotes, or at the first bracket if they don't close.
@@ -61,21 +76,29 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Node:
     __slots__ = ("tag", "name", "children", "cut")
 
-    def __init__(self, tag: str, name: str = "", cut: bool = False) -> None:
+    def __init__(self, tag: str, name: str = "", cut: int = 0) -> None:
         self.tag, self.name, self.cut = tag, name, cut
         self.children: list[Node | str] = []
 
 
+def _names_a_cut(token: str) -> bool:
+    """Whether the word that a class or id is about, its last one but for box words, is a cut word."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    while len(words) > 1 and words[-1] in BOX_WORDS:
+        words.pop()
+    return bool(words) and words[-1] in CUT_WORDS
+
+
 @lru_cache(maxsize=4096)
-def _attributes(tag: str, source: str) -> tuple[str, bool]:
-    """The label's attribute part, and whether the element is no content."""
+def _attributes(tag: str, source: str) -> tuple[str, int]:
+    """The label's attribute part, and whether the element is no content: 2, or 1 by its name alone."""
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)}
     role = values.get("role", "").lower()
-    named = " ".join(values.get(k, "") for k in ("class", "id"))
-    words = {w.lower() for w in _WORDS.findall(named)}
-    cut = tag in CUT_TAGS or role in CUT_ROLES or "hidden" in values or values.get("aria-hidden") == "true"
-    cut = cut or (tag not in ("html", "body") and tag not in SLOT_TAGS and bool(words & CUT_WORDS)) or (tag in SLOT_TAGS and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related", "sponsored"}))
-    return ("main" if role == "main" else "") + values.get("class", "") + "#" + re.sub(r"\d+", "", values.get("id", "")), cut
+    cut = 2 * (tag in CUT_TAGS or role in CUT_ROLES or "hidden" in values or values.get("aria-hidden") == "true")
+    if not cut and tag not in ("html", "body"):
+        cut = int(any(_names_a_cut(t) for k in ("class", "id") for t in values.get(k, "").split()))
+    name = re.sub(r"\d+", "", values.get("class", "") + "#" + values.get("id", ""))
+    return ("main" if role == "main" else "") + re.sub(r"\s+", "_", name), cut
 
 
 def parse(source: str) -> Node:
@@ -119,7 +142,7 @@ def parse(source: str) -> Node:
                     break
         name, cut = _attributes(tag, m[4])
         if tag == "header":  # of a page; the title of an article stays
-            cut = cut or not any(n.tag in SLOT_TAGS for n in stack)
+            cut = cut if any(n.tag in SLOT_TAGS for n in stack) else 2
         node = Node(tag, name, cut)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -131,11 +154,23 @@ def parse(source: str) -> Node:
     return root
 
 
+def _holds_content(node: Node) -> bool:
+    pending = [c for c in node.children if not isinstance(c, str)]
+    while pending:
+        x = pending.pop()
+        if x.cut < 2:
+            if x.tag in ("h1", "h2", "article", "main"):
+                return True
+            pending += [c for c in x.children if not isinstance(c, str)]
+    return False
+
+
 def _pruned(root: Node) -> Node:
     pending = [root]
     while pending:
         node = pending.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not c.cut]
+        # An article that is named a comment or an advert is one, whatever it holds.
+        node.children = [c for c in node.children if isinstance(c, str) or not c.cut or (c.cut == 1 and c.tag not in SLOT_TAGS and _holds_content(c))]
         pending += [c for c in node.children if not isinstance(c, str)]
     return root
 
@@ -166,194 +201,357 @@ def _articles(node: Node) -> list[Node]:
     return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks below the nodes, white space normalised, empty ones left out."""
-    out: list[str] = []
-    held: list[str] = []
-
-    def close() -> None:
+class Tree:
+    """A node of a folded page or of merged pages; leaves are places of texts of the page."""
+
+    __slots__ = ("label", "kids", "pages", "leaves")
+
+    def __init__(self, label: str, pages: int = 1) -> None:
+        self.label, self.pages = label, pages
+        self.kids: list[Tree] = []
+        self.leaves: list[int] = []
+
+
+class Matching:
+    """Simple tree matching. Equal subtrees have one number, so equal pairs are matched once."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.weights: dict[tuple[int, int], int] = {}
+        self.known: dict[tuple, list[tuple[int, int]]] = {}
+
+    def number(self, tree: Tree) -> int:
+        kids = tuple([self.number(k) for k in tree.kids])
+        n = self.numbers.setdefault((tree.label, kids), len(self.labels))
+        if n == len(self.labels):
+            self.labels.append(tree.label)
+            self.kids.append(kids)
+        return n
+
+    def weight(self, a: int, b: int) -> int:
+        """Nodes that match in two subtrees whose roots do; 0 if these differ."""
+        if self.labels[a] != self.labels[b]:
+            return 0
+        if (a, b) not in self.weights:
+            self.weights[a, b] = 1 + (self._scores(self.kids[a], self.kids[b])[-1][-1] if self.kids[a] and self.kids[b] else 0)
+        return self.weights[a, b]
+
+    def _scores(self, xs: tuple[int, ...], ys: tuple[int, ...], whole: bool = False) -> list:
+        """The best weights of beginnings of xs and ys: the last row, or all of them."""
+        kinds, place = np.unique(np.array(ys), return_inverse=True)
+        kinds = kinds.tolist()
+        rows = [np.zeros(len(ys) + 1, np.int64)]
+        of_kind: dict[int, np.ndarray] = {}
+        for x in xs:
+            if x not in of_kind:
+                of_kind[x] = np.array([self.weight(x, y) for y in kinds], np.int64)[place]
+            row = np.zeros(len(ys) + 1, np.int64)
+            # Without a partner the weight is 0: nothing is won by such a pair.
+            np.maximum.accumulate(np.maximum(rows[-1][1:], rows[-1][:-1] + of_kind[x]), out=row[1:])
+            if not whole:
+                rows.clear()
+            rows.append(row)
+        return rows
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The places of the ordered pairs of greatest weight."""
+        if xs == ys:
+            return [(i, i) for i in range(len(xs))]
+        if not xs or not ys:
+            return []
+        if (xs, ys) not in self.known:
+            self.known[xs, ys] = self._halved(xs, ys) if len(xs) > 1 and len(xs) * len(ys) > TABLE_CELLS else self._traced(xs, ys)
+        return self.known[xs, ys]
+
+    def _traced(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        rows, out, i, j = self._scores(xs, ys, whole=True), [], len(xs), len(ys)
+        while i and j:
+            won = self.weight(xs[i - 1], ys[j - 1])
+            if won and rows[i][j] == rows[i - 1][j - 1] + won:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    def _halved(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        mid = len(xs) // 2
+        first, second = self._scores(xs[:mid], ys)[-1], self._scores(xs[:mid - 1 : -1], ys[::-1])[-1]
+        cut = int((first + second[::-1]).argmax())
+        return self.pairs(xs[:mid], ys[:cut]) + [(i + mid, j + cut) for i, j in self.pairs(xs[mid:], ys[cut:])]
+
+    def merge(self, a: Tree, b: Tree, pages: int) -> None:
+        """Put b, of the same label, into a. pages: what b adds to the pages of a node that both have."""
+        a.pages += pages and b.pages
+        a.leaves += b.leaves
+        pairs = self.pairs(tuple([self.number(k) for k in a.kids]), tuple([self.number(k) for k in b.kids]))
+        kids, at, other = [], 0, 0
+        for i, j in [*pairs, (len(a.kids), len(b.kids))]:
+            kids += [*a.kids[at:i], *b.kids[other:j]]
+            if i < len(a.kids):
+                self.merge(a.kids[i], b.kids[j], pages)
+                kids.append(a.kids[i])
+            at, other = i + 1, j + 1
+        a.kids = kids
+
+    def align(self, a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
+        """All pairs of matched nodes of two trees of one label."""
+        out, pending = [], [(a, b)]
+        while pending:
+            x, y = pending.pop()
+            out.append((x, y))
+            pairs = self.pairs(tuple([self.number(k) for k in x.kids]), tuple([self.number(k) for k in y.kids]))
+            pending += [(x.kids[i], y.kids[j]) for i, j in pairs]
+        return out
+
+
+def _deep() -> None:
+    """Trees may be as deep as a page has tags; calls of Python functions take no C stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))
+
+
+def folded(root: Node) -> tuple[Tree, list[tuple[str, bool]]]:
+    """The folded tree, and the block texts in page order, each with whether it lies in an article or main."""
+    _deep()
+    texts: list[tuple[str, bool]] = []
+    inner = {id(n) for n in slots(root)}
+    matching = Matching()
+
+    def close(held: list[str], inside: bool, out: list[Tree]) -> None:
         if text := " ".join("".join(held).split()):
-            out.append(text)
+            add(Tree("#text"), out)
+            out[-1].leaves.append(len(texts))
+            texts.append((text, inside))
         held.clear()
 
-    pending: list = list(reversed(nodes))
-    while pending:
-        x = pending.pop()
-        if x is None:
-            close()
-        elif isinstance(x, str):
-            held.append(x)
-        elif x.tag == "br":
-            held.append(" ")
+    def add(tree: Tree, out: list[Tree]) -> None:
+        if out and out[-1].label == tree.label:
+            matching.merge(out[-1], tree, 0)
         else:
-            block = x.tag not in INLINE
-            if block:
-                close()
-                pending.append(None)
-            pending += reversed(x.children)
-    close()
+            out.append(tree)
+
+    def read(node: Node, inside: bool, held: list[str], out: list[Tree]) -> None:
+        for c in node.children:
+            if isinstance(c, str):
+                held.append(c)
+            elif c.tag == "br":
+                held.append(" ")
+            elif c.tag in INLINE:
+                read(c, inside, held, out)
+            else:
+                close(held, inside, out)
+                tree, of_c = Tree(f"{c.tag}.{c.name}"), inside or id(c) in inner
+                read(c, of_c, held, tree.kids)
+                close(held, of_c, tree.kids)
+                if tree.kids:
+                    add(tree, out)
+
+    top, held = Tree("#root"), []
+    read(root, id(root) in inner, held, top.kids)
+    close(held, id(root) in inner, top.kids)
+    return top, texts
+
+
+def _nodes(tree: Tree) -> list[tuple[int, Tree]]:
+    """(depth, node), parents first."""
+    out, pending = [], [(0, tree)]
+    while pending:
+        depth, node = pending.pop()
+        out.append((depth, node))
+        pending += [(depth + 1, k) for k in reversed(node.kids)]
     return out
 
 
-def _hash(*parts) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little", signed=True)
+def written(tree: Tree) -> str:
+    return "\n".join(f"{depth} {node.pages} {node.label}" for depth, node in _nodes(tree))
+
+
+def read_tree(source: str) -> Tree:
+    stack: list[Tree] = []
+    for line in source.split("\n"):
+        depth, pages, label = line.split(" ", 2)
+        node = Tree(label, int(pages))
+        del stack[int(depth) :]
+        if stack:
+            stack[-1].kids.append(node)
+        stack.append(node)
+    return stack[0]
+
+
+def merged(trees: list[tuple[str, int]]) -> str:
+    """One tree of (written tree, times): those of most pages first."""
+    _deep()
+    matching, out = Matching(), None
+    for source, times in sorted(trees, key=lambda t: (-t[1], t[0])):
+        tree = read_tree(source)
+        for _, node in _nodes(tree):
+            node.pages *= times
+        if out is None:
+            out = tree
+        else:
+            matching.merge(out, tree, 1)
+    return written(out)
 
 
-def _prints(root: Node) -> dict[int, int]:
-    """Prints of all elements by id: equal for equal labels and texts; 0 for an element without text."""
-    out: dict[int, int] = {}
-    pending = [(root, False)]
-    while pending:
-        node, ready = pending.pop()
-        if not ready:
-            pending.append((node, True))
-            pending += [(c, False) for c in node.children if not isinstance(c, str)]
-            continue
-        below = [x for c in node.children if (x := (" ".join(c.split()) if isinstance(c, str) else out[id(c)]))]
-        out[id(node)] = _hash(node.tag, node.name, below) if below else 0
-    return out
+@lru_cache(maxsize=512)
+def frequent(source: str) -> str:
+    """The tree without nodes of fewer than MIN_PAGES pages."""
+    tree = read_tree(source)
+    for _, node in _nodes(tree):
+        node.kids = [k for k in node.kids if k.pages >= MIN_PAGES]
+    return written(tree)
 
 
-def _items(node: Node, path: int, prints: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(slot, item, place) of the children with text: the label path, and the print with its number among equal ones."""
-    out, times, slots_of = [], {}, {}
-    for k, c in enumerate(node.children):
-        label = "#text" if isinstance(c, str) else f"{c.tag}.{c.name}"
-        found = (" ".join(c.split()) if isinstance(c, str) else prints[id(c)]) or None
-        if found is None:
-            continue
-        if label not in slots_of:
-            slots_of[label] = _hash(path, label)
-        n = times[label, found] = times.get((label, found), -1) + 1
-        out.append((slots_of[label], _hash(label, found, n), k))
+@lru_cache(maxsize=4096)
+def _aligned(template: str, skeleton: str) -> dict[int, int]:
+    """Numbers of a template's nodes by those of a page's nodes."""
+    _deep()
+    a, b = read_tree(template), read_tree(skeleton)
+    of_a = {id(n): k for k, (_, n) in enumerate(_nodes(a))}
+    of_b = {id(n): k for k, (_, n) in enumerate(_nodes(b))}
+    return {of_b[id(y)]: of_a[id(x)] for x, y in Matching().align(a, b)}
+
+
+def _items(tree: Tree, texts: list[tuple[str, bool]]) -> list[tuple[int, bytes, int]]:
+    """(node, print, place) of the texts: a print is of the text and its number among equal ones of the node."""
+    out = []
+    for k, (_, node) in enumerate(_nodes(tree)):
+        times: Counter = Counter()
+        for place in node.leaves:
+            text = texts[place][0]
+            out.append((k, hashlib.blake2b(f"{times[text]} {text}".encode(), digest_size=16).digest(), place))
+            times[text] += 1
     return out
 
 
-def page_items(source: str) -> tuple[list[int], list[int]]:
-    """Slots and items of all nodes of a page, each pair once."""
-    root = _pruned(parse(source))
-    prints = _prints(root)
-    seen: dict[tuple[int, int], None] = {}
-    pending = [(root, 0)]
-    while pending:
-        node, path = pending.pop()
-        for slot, item, k in _items(node, path, prints):
-            seen[slot, item] = None
-            if not isinstance(node.children[k], str):
-                pending.append((node.children[k], slot))
-    return [k[0] for k in seen], [k[1] for k in seen]
-
-
-def _match(a: list, b: list, weight) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: the heaviest ordered pairs of equal labels."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best = max(table[i + 1][j], table[i][j + 1])
-            if a[i] == b[j]:
-                best = max(best, table[i + 1][j + 1] + weight(i, j))
-            table[i][j] = best
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j] and table[i][j] == table[i + 1][j + 1] + weight(i, j):
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i][j] == table[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
+def page_items(source: str) -> tuple[str, list[int], list[bytes], bytes]:
+    """The written tree of a page, the nodes and prints of its texts, and a print of all of them."""
+    tree, texts = folded(_pruned(parse(source)))
+    items = _items(tree, texts)
+    whole = hashlib.blake2b("\n".join(t for t, _ in texts).encode(), digest_size=16).digest()
+    return written(tree), [k for k, _, _ in items], [p for _, p, _ in items], whole
 
 
-def induce(pages: list[str]) -> dict[int, set[int]]:
-    """The wrapper of pages of one host: the template's items by slot. wrappers() counts the same in Spark."""
+def induce(pages: list[str]) -> tuple[str, frozenset] | None:
+    """The wrapper of pages of one host: its tree and the (node, print) pairs of its texts. wrappers() does the same in Spark."""
+    read = {whole: (tree, nodes, prints) for tree, nodes, prints, whole in map(page_items, pages) if nodes}
+    if len(read) < MIN_PAGES:
+        return None
+    template = frequent(merged(list(Counter(tree for tree, _, _ in read.values()).items())))
     seen: Counter = Counter()
     having: Counter = Counter()
-    for page in pages:
-        found, items = page_items(page)
-        seen.update(zip(found, items, strict=True))
-        having.update(set(found))
-    out: dict[int, set[int]] = {}
-    for (slot, item), n in seen.items():
-        if n > 1 and n >= SUPPORT * having[slot]:
-            out.setdefault(slot, set()).add(item)
-    return out
+    for tree, nodes, prints in read.values():
+        at = _aligned(template, tree)
+        pairs = {(at[k], p) for k, p in zip(nodes, prints, strict=True) if k in at}
+        seen.update(pairs)
+        having.update({k for k, _ in pairs})
+    return template, frozenset(k for k, n in seen.items() if n >= MIN_PAGES and n >= SUPPORT * having[k[0]])
 
 
-def without_template(root: Node, wrapper: dict[int, set[int]]) -> None:
-    """Drop what aligns with a template node of equal text."""
-    prints = _prints(root)
-    pending = [(root, 0)]
-    while pending:
-        node, path = pending.pop()
-        gone = set()
-        for slot, item, k in _items(node, path, prints):
-            if item in wrapper.get(slot, ()):
-                gone.add(k)
-            elif not isinstance(node.children[k], str):
-                pending.append((node.children[k], slot))
-        node.children = [c for k, c in enumerate(node.children) if k not in gone]
-
-
-def _content(root: Node) -> str:
-    """The text, or that of article and main elements where they hold at least half of it."""
-    whole, inner = blocks([root]), blocks(slots(root))
-    return "\n".join(inner if 2 * sum(map(len, inner)) >= sum(map(len, whole)) else whole)
-
-
-def main_text(source: str | None, wrapper: dict | None = None) -> str:
+def main_text(source: str | None, wrapper: tuple[str, frozenset] | None = None) -> str:
     if not source:
         return ""
-    root = _pruned(parse(source))
-    plain = _content(root)
+    tree, texts = folded(_pruned(parse(source)))
+    gone = set()
     if wrapper:
-        without_template(root, wrapper)
-        return _content(root) or plain
-    return plain
+        at = _aligned(wrapper[0], written(tree))
+        gone = {place for k, p, place in _items(tree, texts) if k in at and (at[k], p) in wrapper[1]}
+    left = [t for place, t in enumerate(texts) if place not in gone]
+    inner = [t for t, inside in left if inside]
+    return "\n".join(inner if 2 * sum(map(len, inner)) >= sum(len(t) for t, _ in left) else [t for t, _ in left])
 
 
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit(""))
 
 
+def _templates(pages: DataFrame) -> DataFrame:
+    """(host, template) from (host, tree) of distinct pages."""
+    spark = pages.sparkSession
+    trees = pages.groupBy("host", "tree").agg(F.count("*").alias("times"))
+
+    def merge(key, table):
+        tree = merged(list(zip(table.column("tree").to_pylist(), table.column("times").to_pylist(), strict=True)))
+        return pa.table({"host": [key[0].as_py()], "tree": [tree], "times": pa.array([1], pa.int64())})
+
+    old = None
+    while True:
+        sized = trees.join(F.broadcast(sizes) if (sizes := trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))).count() <= 100_000 else sizes, "host")
+        dealt = sized.withColumn("part", F.pmod(F.xxhash64("tree"), F.col("groups")))
+        trees, path = stored(dealt.groupBy("host", "part").applyInArrow(merge, "host string, tree string, times long"), "trees")
+        if old:
+            dropped(spark, old)
+        old = path
+        if trees.groupBy("host").count().filter("count > 1").isEmpty():
+            return trees.select("host", F.col("tree").alias("template"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for each host whose distinct pages share a template."""
+    """(host, template, texts) of each host with enough distinct pages; texts holds a node number and a print for each."""
 
-    def run(batches):
+    def read(batches):
+        for batch in batches:
+            found = [page_items(h) for h in batch.column(1).to_pylist()]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["host", "tree", "nodes", "prints", "whole"])
+
+    full = pages.filter("length(html) > 0").select(_host(F.col("url")).alias("host"), "html")
+    parsed = full.mapInArrow(read, "host string, tree string, nodes array<int>, prints array<binary>, whole binary").filter("size(nodes) > 0")
+    # Of pages with equal texts one counts.
+    distinct, path = stored(parsed.dropDuplicates(["host", "whole"]), "page-items")
+    enough = distinct.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES).select("host")
+    known, known_path = stored(_templates(distinct.join(enough, "host", "left_semi").select("host", "tree")), "templates")
+
+    def place(batches):
         for batch in batches:
-            found = [page_items(h) for h in batch.column(2).to_pylist()]
-            columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["host", "hash", "slots", "items"])
-
-    # Of equal pages one counts.
-    full = pages.filter("length(html) > 0").select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("hash"), "html")
-    parsed = full.mapInArrow(run, "host string, hash long, slots array<long>, items array<long>")
-    distinct, _ = stored(parsed.dropDuplicates(["host", "hash"]), "page-items")
+            rows = [([], [])]
+            for tree, nodes, prints, template in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                at = _aligned(frequent(template), tree)
+                pairs = {(at[k], p) for k, p in zip(nodes, prints, strict=True) if k in at}
+                rows.append(([k for k, _ in pairs], [p for _, p in pairs]))
+            columns = [pa.array([r[k] for r in rows[1:]], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.binary())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["host", "nodes", "prints"])
+
+    placed, placed_path = stored(_with_host(distinct, known, "whole").filter("template is not null").select("host", "tree", "nodes", "prints", "template").mapInArrow(place, "host string, nodes array<int>, prints array<binary>"), "placed")
     # Both counts are made in the tasks first, so a hot host is no hot task.
-    having = distinct.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("pages")).filter("pages > 1")
-    nodes = distinct.select("host", F.explode(F.arrays_zip("slots", "items")).alias("n")).select("host", F.col("n.slots").alias("slot"), F.col("n.items").alias("item"))
-    counted = nodes.groupBy("host", "slot", "item").agg(F.count("*").alias("n")).filter("n > 1")
-    template = counted.join(having, ["host", "slot"]).filter(F.col("n") >= SUPPORT * F.col("pages"))
-    return template.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("slot", "item")))).alias("wrapper"))
+    having = placed.select("host", F.explode(F.array_distinct("nodes")).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    items = placed.select("host", F.explode(F.arrays_zip("nodes", "prints")).alias("n")).select("host", F.col("n.nodes").alias("node"), F.col("n.prints").alias("print"))
+    counted = items.groupBy("host", "node", "print").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    constant = counted.join(having, ["host", "node"]).filter(F.col("n") >= SUPPORT * F.col("pages"))
+    texts = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "node", F.hex("print")))).alias("texts"))
+    out, _ = stored(known.join(texts, "host").select("host", "template", "texts"), "wrappers")
+    dropped(pages.sparkSession, path, known_path, placed_path)
+    return out
+
+
+def _with_host(rows: DataFrame, of_host: DataFrame, column: str) -> DataFrame:
+    """rows with their host's row of of_host, or nulls: by broadcast if a sum shows that it is small, else by a salted join."""
+    sizes = [F.sum(F.length(F.concat_ws(" ", c))) for c in of_host.columns]
+    total = sum(x or 0 for x in of_host.agg(*sizes).first())
+    if total <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(of_host), "host", "left")
+    return salted(rows, column).join(spread(of_host), ["host", "_salt"], "left").drop("_salt")
 
 
 @lru_cache(maxsize=512)
-def _loaded(wrapper: str) -> dict[int, set[int]]:
-    out: dict[int, set[int]] = {}
-    for row in json.loads(wrapper):
-        out.setdefault(row["slot"], set()).add(row["item"])
-    return out
+def _loaded(template: str, texts: tuple[str, ...]) -> tuple[str, frozenset]:
+    pairs = (t.split(" ") for t in texts)
+    return frequent(template), frozenset((int(k), bytes.fromhex(p)) for k, p in pairs)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found, _ = stored(wrappers(pages), "wrappers")
+    found = wrappers(pages)
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, _loaded(w) if w else None) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(h, _loaded(w, tuple(t)) if w else None) for h, w, t in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.withColumn("host", _host(F.col("url"))).join(found, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = _with_host(pages.withColumn("host", _host(F.col("url"))), found, "html").select("page_id", "url", "html", "template", "texts")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,8 +1,10 @@
 """Main text of pages."""
 
 import html
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from platen.llm import wrapper
@@ -25,12 +27,79 @@ def test_wrapper_of_pages_without_an_article():
     pages = [PLAIN % (i, f"text {i}", f"more {i * i}") for i in range(4)]
     w = wrapper.induce(pages[:3])
     assert wrapper.main_text(pages[3], w) == "text 3\nmore 9"
-    assert wrapper.main_text(pages[0], wrapper.induce([pages[0], pages[0]])).startswith("Welcome")  # nothing would be left
+    assert wrapper.main_text(pages[0], wrapper.induce([pages[0], pages[0]])).startswith("Welcome")  # of equal pages one counts
 
 
-def test_tree_matching_is_the_best_ordered_one():
-    assert wrapper._match(list("abcb"), list("bcab"), lambda i, j: 1) in ([(1, 0), (2, 1), (3, 3)],)
-    assert wrapper._match(["a"], ["a", "a"], lambda i, j: 1 + j) == [(0, 1)]
+def _random_tree(rnd, depth):
+    tree = wrapper.Tree(rnd.choice("ab"))
+    if depth:
+        tree.kids = [_random_tree(rnd, depth - 1) for _ in range(rnd.randrange(4))]
+    return tree
+
+
+def _brute_weight(a, b):
+    """Simple tree matching by trying all ordered pairings of children."""
+    if a.label != b.label:
+        return 0
+
+    def best(i, j):
+        if i == len(a.kids) or j == len(b.kids):
+            return 0
+        return max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + _brute_weight(a.kids[i], b.kids[j]))
+
+    return 1 + best(0, 0)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1])
+def test_tree_matching_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(wrapper, "TABLE_CELLS", cells)
+    rnd = random.Random(6)
+    for _ in range(400):
+        a, b = _random_tree(rnd, 3), _random_tree(rnd, 3)
+        b.label = a.label
+        matching = wrapper.Matching()
+        pairs = matching.align(a, b)
+        assert len(pairs) == matching.weight(matching.number(a), matching.number(b)) == _brute_weight(a, b)
+        assert all(x.label == y.label for x, y in pairs)
+        size = len(wrapper._nodes(a)) + len(wrapper._nodes(b))
+        matching.merge(a, b, 1)
+        assert len(wrapper._nodes(a)) == size - len(pairs) and wrapper.written(wrapper.read_tree(wrapper.written(a))) == wrapper.written(a)
+
+
+def test_merging_in_rounds_keeps_the_template(spark, monkeypatch):
+    monkeypatch.setattr(wrapper, "GROUP", 2)
+    rows = [(i, "http://a.com/", PLAIN % (i, f"text {i}", f"more {i}") + "".join(f"<section><h3>s{i} {k}</h3></section><p>p{i} {k}</p>" for k in range(i % 7))) for i in range(21)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(21):
+        assert got[i] == "\n".join([f"text {i}", f"more {i}", *(x for k in range(i % 7) for x in (f"s{i} {k}", f"p{i} {k}"))])
+
+
+def test_hosts_without_articles(spark):
+    """Half of the hosts have no article; their menus and notices are constant, the others' vary."""
+    rows, want = [], {}
+    for h in range(6):
+        for i in range(8):
+            k = 10 * h + i
+            body = f"<div class='entry-header'><h1>Title {k}</h1></div><p>Body {k} with some words.</p><div id=related-work><h4>Related work</h4><p>Work {k}</p></div>"
+            if h % 2:
+                page = f"<nav><a>n{k}</a></nav><div class=ad>buy {k}</div><article>{body}</article><div class=related-posts>other {k}</div><footer>{k}</footer>"
+                want[k] = f"Title {k}\nBody {k} with some words.\nRelated work\nWork {k}"
+            else:
+                page = f"<div class=top>Site of host {h}</div><ul><li>Home<li>News<li>Imprint</ul><div class=c><div class=x{k}>{body}</div></div><div>All rights reserved</div>"
+                want[k] = f"Title {k}\nBody {k} with some words.\nWork {k}"
+            rows.append((k, f"https://h{h}.org/{i}", f"<html><body>{page}</body></html>"))
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, text in want.items():
+        # "Related work" stands on all pages of a host, so it is template there, inside an article too.
+        assert got[k] == text.replace("Related work\n", "")
+        assert wrapper.main_text(rows[[r[0] for r in rows].index(k)][2]) != got[k]  # the wrapper makes the difference
+
+
+def test_names_of_elements():
+    for kept in ("<div class=entry-header><h1>t</h1></div>", "<section id=related-work>t</section>", "<div class=menu-planning>t</div>", "<div class=sidebar-layout><main>t</main></div>"):
+        assert wrapper.main_text(f"<article>{kept}</article>") == "t", kept
+    for cut in ("<div class=related-posts>x</div>", "<div class='site-header'>x</div>", "<div class=commentList>x</div>", "<p class='big cookie-banner-box'>x</p>", "<article class=comment><h2>x</h2></article>"):
+        assert wrapper.main_text(f"<p>t</p>{cut}") == "t", cut
 
 
 def test_deep_and_long_pages_end():
