@@ -182,7 +182,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id `every` divides, its k nearest of all rows."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # Distances are exact on the vectors as they are: only what is no float is widened.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     lengths = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None or lengths.n < 1:
         return spark.createDataFrame([], schema)
@@ -203,7 +205,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 codes = quantiser.value.encode(x.astype(np.float64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "codes"])
 
-    indexed, _ = stored(rows.mapInArrow(index, "vec_id long, embedding array<float>, codes binary"), "index")
+    indexed, _ = stored(rows.mapInArrow(index, f"vec_id long, embedding {kind}, codes binary"), "index")
     asked = indexed.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
     chunks = max(1, math.ceil(asked.count() / CHUNK))
     found = None

@@ -83,3 +83,12 @@ def test_parallel_residuals_weigh_more():
     exact = np.array([[(q.books[m, c] @ q._padded(x[:1])[0].reshape(-1, 2)[m]) for m, c in enumerate(np.stack([row & 15, row >> 4], axis=1).ravel())] for row in codes]).sum(axis=1)
     scanned = np.array([sum(t[b] for t, b in zip(q.tables(x[0]), row, strict=True)) for row in codes])
     assert np.allclose(exact, scanned, atol=1e-4)
+
+
+def test_doubles_are_measured_as_they_are(spark):
+    """Vectors that differ beyond a float's digits or range."""
+    rows = [(100 * i, [1.0 + i * 1e-12, 2.0, 1e60 if i > 5 else 0.0]) for i in range(8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(ann.nearest(table)), brute(rows)
+    assert {q: [j for _, j in w] for q, w in got.items()} == {q: [j for _, j in w] for q, w in want.items()}
+    assert got[0][0] == (want[0][0][0], 100) and 0 < got[0][0][0] < 2e-12
