@@ -1,16 +1,18 @@
 """URL verdicts: explicit host and path rules, then mined association rules.
 
 Pages that an explicit rule decides are the labelled ones. FP-growth mines the
-frequent combinations of their URL tokens with the verdict; combinations of at
-most MAX_TOKENS tokens whose support and confidence reach the limits become
-rules. Other pages get the verdict of their best rule (confidence, then
-support, then more tokens, then text), found through an inverted index from
-tokens to rules; without one they get DEFAULT. Matching works on the distinct
+frequent combinations of their URL tokens with the verdict; combinations of any
+size whose support and confidence reach the limits become rules. A rule that a part of its
+own tokens beats (by confidence, or by support at equal confidence) never decides and is pruned.
+Other pages get the verdict of their best rule (confidence, then
+support, then more tokens, then text), found through an inverted index that lists a rule
+under its rarest token; without one they get DEFAULT. Matching works on the distinct
 token sets, so a hot host is matched once, and all of it is DataFrame code.
 
 A URL has at most nine tokens (scheme, whole host, registered name, the labels
-around it, first path part, file ending, first query key, fragment), which
-bounds the itemsets of a transaction.
+around it, first path part, file ending, first query key, fragment), so a labelled page has at most
+511 combinations, and at a support of MIN_SUPPORT there are at most 511 / MIN_SUPPORT frequent ones:
+the index has that bound and is broadcast.
 
 Defined cases: a null URL or one without `://` has an empty host and path, no
 token and the verdict DEFAULT; repeated rows count as often as they stand and
@@ -24,9 +26,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm.tables import salted, stored
+
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 2
 DEFAULT = "allow"
 BLOCK, ALLOW = "block", "allow"
 
@@ -83,18 +86,30 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     classes = F.array(F.lit(f"verdict={BLOCK}"), F.lit(f"verdict={ALLOW}"))
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).freqItemsets
-    sized = found.withColumn("tokens", F.array_sort(F.array_except("items", classes))).filter(F.size("tokens").between(1, MAX_TOKENS))
+    sized = found.withColumn("tokens", F.array_sort(F.array_except("items", classes))).filter(F.size("tokens") >= 1)
     whole = sized.filter(F.size("items") == F.size("tokens")).select("tokens", F.col("freq").alias("seen"))
     with_class = sized.filter(F.size("items") > F.size("tokens")).select("tokens", F.col("freq").alias("hits"), F.regexp_replace(F.array_intersect("items", classes)[0], "^verdict=", "").alias("verdict"))
     rules = with_class.join(whole, "tokens").withColumn("confidence", F.col("hits").cast("double") / F.col("seen").cast("double"))
     return rules.filter(F.col("confidence") >= min_confidence).select("tokens", F.size("tokens").alias("size"), "verdict", "hits", "confidence")
 
 
+def pruned(rules: DataFrame) -> DataFrame:
+    """rules without those that a rule of one token less, of the same verdict, always beats."""
+    parts_of = rules.select("tokens", "verdict", "hits", "confidence", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+    shorter = rules.select(F.col("tokens").alias("part"), "verdict", F.col("hits").alias("part_hits"), F.col("confidence").alias("part_confidence"))
+    better = F.expr("part_confidence > confidence or (part_confidence = confidence and part_hits > hits)")
+    beaten = parts_of.join(shorter, ["part", "verdict"]).filter(better).select("tokens", "verdict").distinct()
+    return rules.join(beaten, ["tokens", "verdict"], "left_anti")
+
+
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, mined) of the token sets that a rule fits, through the inverted index."""
-    index = rules.withColumn("rule_tokens", F.col("tokens")).withColumn("token", F.explode("tokens")).drop("tokens")
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    fitting = hits.groupBy("tokens", "rule_tokens", "verdict", "size", "hits", "confidence").count().filter("count = size")
+    listed = rules.select(F.col("tokens").alias("rule_tokens"), "verdict", "size", "hits", "confidence", F.explode("tokens").alias("token"))
+    lengths = listed.groupBy("token").agg(F.count("*").alias("length"))
+    keys = ["rule_tokens", "verdict", "size", "hits", "confidence"]
+    index = listed.join(lengths, "token").groupBy(*keys).agg(F.min(F.struct("length", "token")).alias("rarest")).select(*keys, F.col("rarest.token").alias("token"))
+    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    fitting = hits.filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     order = F.struct((-F.col("confidence")).alias("a"), (-F.col("hits")).alias("b"), (-F.col("size")).alias("c"), F.array_join("rule_tokens", " ").alias("d"), F.col("verdict").alias("verdict"))
     return fitting.groupBy("tokens").agg(F.min(order).alias("best")).select("tokens", F.col("best.verdict").alias("mined"))
 
@@ -105,9 +120,12 @@ def verdicts(pages: DataFrame) -> DataFrame:
     labelled = rows.filter("rule is not null").select("tokens", "verdict")
     if labelled.isEmpty():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
-    open_sets = rows.filter("rule is null").select("tokens").distinct()
-    mined = matched(open_sets, mine(labelled))
-    return rows.join(mined, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit(DEFAULT)).alias("verdict"))
+    # The rows of a hot token set are dealt by a salt: each salt that has some gets the set's verdict once.
+    dealt = salted(rows, "page_id")
+    sets = dealt.filter("rule is null").select("tokens", "_salt").distinct()
+    rules, _ = stored(mine(labelled), "url-rules")
+    mined = sets.join(matched(sets.select("tokens").distinct(), pruned(rules)), "tokens")
+    return dealt.join(mined, ["tokens", "_salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit(DEFAULT)).alias("verdict"))
 
 
 ORACLE = f"""
@@ -137,11 +155,10 @@ fitting AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM tokens),
 ruled AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict FROM fitting),
-singles AS (SELECT id, verdict, unnest(tokens) AS t FROM ruled WHERE rule IS NOT NULL),
-sets AS (
-  SELECT id, verdict, [t] AS s FROM singles
-  UNION ALL SELECT a.id, a.verdict, [a.t, b.t] FROM singles a JOIN singles b ON a.id = b.id AND a.t < b.t),
-counted AS (SELECT s, count(*) AS seen, count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER (verdict = 'allow') AS allowed FROM sets GROUP BY s),
+labelled AS (SELECT tokens, count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER (verdict = 'allow') AS allowed FROM ruled WHERE rule IS NOT NULL GROUP BY tokens),
+chosen AS (SELECT *, unnest(range(1, (1 << len(tokens))::BIGINT)) AS m FROM labelled),
+sets AS (SELECT list_filter(tokens, lambda x, i: (m & (1 << (i - 1))) <> 0) AS s, blocked, allowed FROM chosen),
+counted AS (SELECT s, sum(blocked + allowed) AS seen, sum(blocked) AS blocked, sum(allowed) AS allowed FROM sets GROUP BY s),
 least AS (SELECT ceil({MIN_SUPPORT}::DOUBLE * count(*)) AS n FROM ruled WHERE rule IS NOT NULL),
 mined AS (
   SELECT s, 'block' AS verdict, blocked AS hits, blocked::DOUBLE / seen AS confidence FROM counted, least WHERE blocked >= n AND blocked > 0

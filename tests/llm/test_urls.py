@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -49,17 +50,36 @@ def test_mined_rules_match_brute_force(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     labelled = urlfilter.explicit(urlfilter.parts(pages)).filter("rule is not null").select("tokens", "verdict")
     rows = [(frozenset(r.tokens), r.verdict) for r in labelled.collect()]
-    want = {}
-    for k in (1, 2):
-        sets = {frozenset(c) for t, _ in rows for c in combinations(sorted(t), k)}
-        for s in sets:
-            seen = sum(s <= t for t, _ in rows)
-            for v in ("block", "allow"):
-                hits = sum(s <= t and w == v for t, w in rows)
-                if hits >= urlfilter.MIN_SUPPORT * len(rows) and hits / seen >= urlfilter.MIN_CONFIDENCE:
-                    want[s, v] = (hits, hits / seen)
+    want, seen, hits = {}, Counter(), Counter()
+    for tokens, verdict in rows:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), k):
+                seen[frozenset(c)] += 1
+                hits[frozenset(c), verdict] += 1
+    for (s, v), n in hits.items():
+        if n >= urlfilter.MIN_SUPPORT * len(rows) and n / seen[s] >= urlfilter.MIN_CONFIDENCE:
+            want[s, v] = (n, n / seen[s])
+    assert max(len(s) for s, _ in want) > 2
     got = {(frozenset(r.tokens), r.verdict): (r.hits, r.confidence) for r in urlfilter.mine(labelled).collect()}
     assert got == want
+    # What is pruned never decides: of all rules that fit a set the best one stays.
+    left = {(frozenset(r.tokens), r.verdict) for r in urlfilter.pruned(urlfilter.mine(labelled)).collect()}
+    best = lambda rules, tokens: min(((-want[r][1], -want[r][0], -len(r[0]), " ".join(sorted(r[0])), r[1]) for r in rules if r[0] <= tokens), default=None)
+    assert left < set(want) and all(best(left, t) == best(want, t) for t, _ in rows[:60])
+
+
+def test_a_rule_of_three_tokens_decides(spark):
+    """Blocked are only pages with ending, key and fragment together; any two of them are mostly allowed."""
+    rows, k = [], 0
+    for times, host, ending, key, mark in ((20, "a.net", ".php", "?ad=1", "#x"), (20, "a.org", ".php", "?ad=1", ""), (20, "a.org", ".php", "", "#x"), (20, "a.org", "", "?ad=1", "#x")):
+        for _ in range(times):
+            k += 1
+            rows.append((k, f"http://{host}/fr/p{k}{ending}{key}{mark}"))
+    rows += [(1000, "http://z.com/q.php?ad=2#y"), (1001, "http://z.com/q.php?ad=2")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.verdicts(pages).collect()}
+    assert (got[1000], got[1001]) == ("block", "allow")
+    assert {i: v for i, _, _, _, v in sql_rows(pages.toArrow())} == got
 
 
 def test_no_python_in_the_plan(spark):
