@@ -46,6 +46,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ CHUNK = 1 << 20  # characters that are split at once
 TABLE_WORDS = 300_000  # distinct words that a task's own table holds, about 80 MB
 LONG_WORD = 48  # longer words have no place in that table
 DICTIONARY_CHARS = 16 << 20  # bytes of text that share a dictionary
+PACKED_ROWS = 250_000  # rows that a task groups by chunk before it hands them on
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -383,11 +385,46 @@ def _of_chunk(path: str, chunk: int, columns: list[str]) -> pa.Table | None:
     return pa.concat_tables(tables).combine_chunks() if tables else None
 
 
-def coded_words(path: str):
-    """An Arrow function from (chunk, word), sorted by word, to (chunk, word, ids): each distinct word is encoded once."""
+def packed(words: list[str], ids: list[list[int]]) -> bytes:
+    """Words with their ids as one value, compressed where that pays."""
+    coded = [w.encode() for w in words]
+    sizes = [np.fromiter(map(len, x), np.uint32, len(x)) for x in (coded, ids)]
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[1].sum()))
+    # Bytes of one rank stand together: most of them are zero.
+    planes = [x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in (*sizes, flat)]
+    plain = np.array([len(words), len(flat)], np.uint32).tobytes() + b"".join(planes) + b"".join(coded)
+    small = zstandard.ZstdCompressor(level=3).compress(plain) if len(plain) > 200 else plain
+    return b"1" + small if len(small) < len(plain) else b"0" + plain
+
+
+def unpacked(value: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words, their numbers of ids and all ids of a packed value."""
+    data = zstandard.ZstdDecompressor().decompress(value[1:]) if value[:1] == b"1" else value[1:]
+    n, total = np.frombuffer(data, np.uint32, 2).tolist()
+    at, parts = 8, []
+    for k in (n, n, total):
+        parts.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * k, at).reshape(4, k).T).view(np.uint32).ravel())
+        at += 4 * k
+    offsets = np.concatenate([[0], np.cumsum(parts[0])]).astype(np.int32)
+    words = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[at:])).to_pylist()
+    return words, parts[1].astype(np.int64), parts[2].astype(np.int32)
+
+
+def coded_words(path: str, rows: int = PACKED_ROWS):
+    """An Arrow function from (chunk, word), sorted by word, to (chunk, packed): each distinct word is encoded once.
+
+    The words that some rows hold for one chunk travel as one packed value.
+    """
 
     def run(batches):
-        last, ids = None, []
+        last, ids, held = None, [], 0
+        of_chunk: dict[int, tuple[list, list]] = {}
+
+        def flush():
+            for chunks in (list(of_chunk)[k : k + 256] for k in range(0, len(of_chunk), 256)):
+                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([packed(*of_chunk[c]) for c in chunks], pa.binary())], ["chunk", "packed"])
+            of_chunk.clear()
+
         for batch in batches:
             words, chosen, new = batch.column(1).to_pylist(), [], []
             for w in words:
@@ -397,13 +434,22 @@ def coded_words(path: str):
                 chosen.append(len(new))  # 0: the last word of the batch before
             coded = [ids, *codec(path).encode_words(new)]
             ids = coded[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([coded[k] for k in chosen], pa.list_(pa.int32()))], ["chunk", "word", "ids"])
+            for c, w, k in zip(batch.column(0).to_pylist(), words, chosen, strict=True):
+                if c not in of_chunk:
+                    of_chunk[c] = ([], [])
+                of_chunk[c][0].append(w)
+                of_chunk[c][1].append(coded[k])
+            held += len(words)
+            if held >= rows:
+                yield from flush()
+                held = 0
+        yield from flush()
 
     return run
 
 
 def dictionaries(texts: DataFrame, path: str, chars: int = DICTIONARY_CHARS) -> str:
-    """Store (chunk, word, ids) of texts (text): the distinct words of each chunk, each distinct word of all encoded once."""
+    """Store (chunk, packed) of texts (text): the distinct words of each chunk with their ids, each distinct word of all encoded once."""
 
     def split(batches):
         held, words = None, set()
@@ -417,7 +463,7 @@ def dictionaries(texts: DataFrame, path: str, chars: int = DICTIONARY_CHARS) ->
 
     # A word stands once for each chunk, so even the most frequent one is no hot key, and all its rows are neighbours.
     words = text_column(texts.select("text")).mapInArrow(split, "chunk long, word string").repartition("word").sortWithinPartitions("word")
-    return _by_chunk(words.mapInArrow(coded_words(path), "chunk long, word string, ids array<int>"), "dictionaries")
+    return _by_chunk(words.mapInArrow(coded_words(path), "chunk long, packed binary"), "dictionaries")
 
 
 def _words_of(chunk: int | None, words: set[str]) -> Iterator[pa.RecordBatch]:
@@ -445,10 +491,12 @@ class _Loaded:
     def at(self, chunk: int) -> _Loaded:
         if chunk != self.chunk:
             self.chunk, self.piece = chunk, _Pieces(self.path)
-            if self.words and (table := _of_chunk(self.words, chunk, ["word", "ids"])):
-                lists = table.column("ids").combine_chunks()
-                self.codec.table_words = TABLE_WORDS + len(lists)
-                self.codec.load(table.column("word").to_pylist(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy())
+            if self.words and (table := _of_chunk(self.words, chunk, ["packed"])):
+                words, sizes, ids = zip(*map(unpacked, table.column("packed").to_pylist()), strict=True)
+                del table
+                words = list(chain.from_iterable(words))
+                self.codec.table_words = TABLE_WORDS + len(words)
+                self.codec.load(words, np.concatenate(sizes), np.concatenate(ids))
             if self.parts and (table := _of_chunk(self.parts, chunk, ["id", "piece"])):
                 self.piece.update(zip(table.column("id").to_pylist(), table.column("piece").to_pylist(), strict=True))
         return self
@@ -515,8 +563,15 @@ def round_trip_digests(docs: DataFrame, path: str, chars: int = DICTIONARY_CHARS
     """
     texts = _documents(docs)
     words = dictionaries(texts.select("text"), path, chars)
-    known = texts.sparkSession.read.schema("word string, ids array<int>, chunk long").parquet(words)
-    parts = piece_tables(known.select("chunk", F.explode("ids").alias("id")), path)
+    known = texts.sparkSession.read.schema("packed binary, chunk long").parquet(words).select("chunk", "packed")
+
+    def listed(batches):
+        for batch in batches:
+            found = [np.unique(unpacked(v)[2]) for v in batch.column(1).to_pylist()]
+            chunks = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int32), *found]))], ["chunk", "id"])
+
+    parts = piece_tables(known.mapInArrow(listed, "chunk long, id int"), path)
 
     def run(batches):
         loaded = _Loaded(path, words, parts)

@@ -57,10 +57,18 @@ def test_each_distinct_word_is_encoded_once(monkeypatch, library):
     encode = bpe.WordCodec.encode_words
     monkeypatch.setattr(bpe.WordCodec, "encode_words", lambda self, words: seen.extend(words) or encode(self, words))
     words = sorted([" the"] * 5 + [" a"] * 3 + ["é", "x" * 500, "x" * 500])
-    batches = [pa.RecordBatch.from_pydict({"chunk": list(range(k, k + len(part))), "word": part}) for k in range(0, len(words), 2) if (part := words[k : k + 2])]
-    rows = [r for b in bpe.coded_words(tokenizer_path())(iter(batches)) for r in b.to_pylist()]
-    assert [r["word"] for r in rows] == words and seen == sorted(set(words))
-    assert all(r["ids"] == ids_of(library, r["word"]) for r in rows)
+    batches = [pa.RecordBatch.from_pydict({"chunk": [j % 3 for j in range(k, k + len(part))], "word": part}) for k in range(0, len(words), 2) if (part := words[k : k + 2])]
+    got = {}
+    for b in bpe.coded_words(tokenizer_path(), rows=4)(iter(batches)):
+        for r in b.to_pylist():
+            listed, sizes, ids = bpe.unpacked(r["packed"])
+            for w, n, end in zip(listed, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+                got.setdefault(w, []).append(r["chunk"])
+                assert ids[end - n : end].tolist() == ids_of(library, w)
+    want = {}
+    for k, w in enumerate(words):
+        want.setdefault(w, []).append(k % 3)
+    assert {w: sorted(c) for w, c in got.items()} == {w: sorted(c) for w, c in want.items()} and seen == sorted(set(words))
 
 
 @pytest.fixture
