@@ -56,6 +56,11 @@ def utf8_hex(c: Column | str) -> Column:
     return F.hex(F.encode(col(c), "UTF-8"))
 
 
+def zero_bytes(n: Column) -> Column:
+    """N bytes, all zero."""
+    return F.unhex(F.repeat(F.lit("00"), n.cast("int")))
+
+
 def jpeg_data_url(content: Column | str) -> Column:
     """K4: a data URL of JPEG bytes, on one line."""
     return F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64(col(content)), r"[\r\n]", ""))

@@ -43,6 +43,13 @@ LAYOUT_SQL = """
     CASE WHEN line % 7 = 0 THEN 16::DOUBLE ELSE 12::DOUBLE END AS font_size, length(text) * 5.5::DOUBLE AS width FROM lines)"""
 
 
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the layout, from word counts alone."""
+    words = F.size(F.split(F.coalesce("text", F.lit("")), "[ \n]+"))
+    last = F.floor(F.floor((words - 1) / WORDS) / LINES).cast("int")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.explode(F.sequence(F.lit(0), last)).alias("page_no"))
+
+
 def content_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C: the layout as content streams.
 
@@ -69,10 +76,10 @@ def content_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(*PAGE).agg(F.array_join(F.transform(ordered, lambda s: s["l"]), "\n").alias("content"))
 
 
-def identity_fonts(streams: DataFrame) -> DataFrame:
+def identity_fonts(pages: DataFrame) -> DataFrame:
     """A font F1 of four-digit codes that stand for themselves, for each page."""
     codes = F.lit([f"{c:04X}" for c in range(32, 401)])
-    return streams.select(*PAGE, F.lit("F1").alias("font"), codes.alias("codes"), codes.alias("values"))
+    return pages.select(*PAGE, F.lit("F1").alias("font"), codes.alias("codes"), codes.alias("values"))
 
 
 def paint(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from platen.functions import cmap as maps
 from platen.functions.files import rejection
 from platen.functions.geometry import coverage, line_height, page_scale, wrap_limit
-from platen.functions.pixels import cmyk_to_rgb, rgb_to_rgba
-from platen.functions.text import clock_time, file_size, hex_of, index_of, jpeg_data_url, missing_characters, utf8_hex
+from platen.functions.pixels import cmyk_to_rgb, colours, paeth, rgb_to_rgba
+from platen.functions.text import clock_time, file_size, hex_of, index_of, jpeg_data_url, missing_characters, utf8_hex, zero_bytes
 from platen.operators import edits, paint, render
 from platen.plans import adapters
 from platen.plans.layout import _KINDS, _lines
@@ -71,7 +71,7 @@ def m6_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.layout(spark, sf_dir).select(*PAGE).distinct().select(*PAGE, F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return adapters.layout_pages(spark, sf_dir).select(*PAGE, F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
 
 
 def m5_m8_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +134,12 @@ def t14_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t2_t4_t15_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapters.table(spark, sf_dir, "documents")
-    return d.select("doc_id", index_of("text", "the").cast("long").alias("the_at"), utf8_hex(F.substring("text", 1, 10)).alias("digits"), hex_of(F.col("n_chars"), 4).alias("n_hex"))
+    return d.select("doc_id", index_of("text", "the").cast("long").alias("the_at"), utf8_hex("text").alias("digits"), hex_of(F.col("n_chars"), 4).alias("n_hex"))
 
 
 def k4_data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapters.table(spark, sf_dir, "documents")
-    return d.select("doc_id", jpeg_data_url(F.encode(F.substring("text", 1, 500), "UTF-8")).alias("url"))
+    return d.select("doc_id", jpeg_data_url(F.encode("text", "UTF-8")).alias("url"))
 
 
 def j14_u3_missing_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +165,39 @@ def t9_a12_o2_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t10_j8_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as four-digit codes through a map that lacks some; array form and general form side by side."""
     attach(spark)
-    codes = F.lit([f"{c:04X}" for c in range(32, 123)])  # a literal: a computed map would be built anew for each code
-    d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode(F.substring("text", 1, 80), "UTF-16BE")).alias("digits"))
-    fast = maps.translate_single(F.concat(F.lit("<"), F.col("digits"), F.lit(">")), F.map_from_arrays(codes, codes), 4)
-    return d.select("doc_id", fast.alias("text"), maps.translate_udf("digits", codes, codes).alias("general"))
+    codes = [f"{c:04X}" for c in range(32, 123)]
+    literal = F.lit(codes)  # a literal: a computed map would be built anew for each code
+    d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "UTF-16BE")).alias("digits"))
+    fast = maps.translate_single(F.concat(F.lit("<"), F.col("digits"), F.lit(">")), F.map_from_arrays(literal, literal), 4)
+    general = maps.translate_udf({"plain": dict(zip(codes, codes, strict=True))})
+    return d.select("doc_id", fast.alias("text"), general("digits", F.lit("plain")).alias("general"))
+
+
+def j8_mixed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of two and four digits in one map; the longest that fits counts, unknown ones are shown."""
+    attach(spark)
+    # 41 is a letter, 4141 and 4142 are others: only the longest match tells them apart. 43 is known in its long form alone.
+    mixed = {"41": "0061", "42": "0062", "4141": "0078", "4142": "0079", "4343": "007A"}
+    digits = F.hex(F.encode(F.regexp_replace(F.translate("text", "aeioutnrs", "AAABBCCAB"), "[^ABC]", ""), "UTF-8"))
+    general = maps.translate_udf({"mixed": mixed})
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", general(digits, F.lit("mixed")).alias("text"))
+
+
+def m9_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: channels of colour spaces."""
+    space = F.element_at(F.array(*map(F.lit, ("DeviceGray", "DeviceCMYK", "DeviceRGB", "ICCBased"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return adapters.table(spark, sf_dir, "events").select("event_id", colours(space).alias("channels"))
+
+
+def m10_paeth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictor of each three neighbouring bytes."""
+    one = lambda i: paeth(F.get("cmyk", i), F.get("cmyk", i + 1), F.get("cmyk", i + 2))
+    return adapters.pixels(spark, sf_dir).select("vec_id", F.array_join(F.transform(F.sequence(F.lit(0), F.size("cmyk") - 3), one).cast("array<string>"), ",").alias("predicted"))
+
+
+def t3_empty_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings of a length, all zero."""
+    return adapters.table(spark, sf_dir, "events").select("event_id", F.hex(zero_bytes(F.col("event_id") % 50)).alias("digits"))
 
 
 def m11_cmyk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +207,12 @@ def m11_cmyk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m12_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = adapters.pixels(spark, sf_dir)
-    return x.select("vec_id", F.array_join(rgb_to_rgba(F.slice("cmyk", 1, 48), 3).cast("array<string>"), ",").alias("rgba"), F.array_join(rgb_to_rgba(F.slice("cmyk", 1, 8), 1).cast("array<string>"), ",").alias("gray"))
+    return x.select("vec_id", F.array_join(rgb_to_rgba(F.col("cmyk"), 3).cast("array<string>"), ",").alias("rgba"), F.array_join(rgb_to_rgba(F.col("cmyk"), 1).cast("array<string>"), ",").alias("gray"))
 
 
 QUERIES = (
     a13_backgrounds, m1_coverage, a2_j11_appearances, a1_u2_o9_objects, j9_j10_i5_page_images, w7_f15_paint_operations, m6_page_frames, m5_m8_text_boxes, m7_image_boxes, m14_line_limits, j12_element_paragraphs, j13_header_styled,
-    e1_e4_property_edits, e5_shift, e5_shift_images, f18_file_checks, t13_file_sizes, t14_clock, t2_t4_t15_strings, k4_data_urls, j14_u3_missing_characters, t11_a10_cmaps, t8_char_map, t9_a12_o2_code_lengths, t10_j8_translate, m11_cmyk, m12_rgba,
+    e1_e4_property_edits, e5_shift, e5_shift_images, f18_file_checks, t13_file_sizes, t14_clock, t2_t4_t15_strings, k4_data_urls, j14_u3_missing_characters, t11_a10_cmaps, t8_char_map, t9_a12_o2_code_lengths, t10_j8_translate, j8_mixed_codes, m9_colours, m10_paeth, t3_empty_bytes, m11_cmyk, m12_rgba,
 )
 
 _SCALE = "(850::DOUBLE / 612::DOUBLE)"
@@ -224,16 +253,24 @@ ORACLES = {
     "t13_file_sizes": """WITH s AS (SELECT doc_id, floor(n_chars * 4096 / pow(10, doc_id % 7)) AS n FROM documents), v AS (SELECT doc_id, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 ELSE 2 END AS k FROM s)
       SELECT doc_id, CASE WHEN n = 0 THEN '0 B' ELSE regexp_replace(regexp_replace(printf('%.2f', floor(n / pow(1024, k) * 100 + 0.5) / 100), '0+$', ''), '\\.$', '') || ' ' || ['B', 'KB', 'MB'][k + 1] END AS shown FROM v""",
     "t14_clock": "SELECT event_id, strftime(ts, '%H:%M') AS clock FROM events",
-    "t2_t4_t15_strings": "SELECT doc_id, strpos(text, 'the') - 1 AS the_at, hex(encode(substr(text, 1, 10))) AS digits, CASE WHEN length(to_hex(n_chars)) >= 4 THEN to_hex(n_chars) ELSE lpad(to_hex(n_chars), 4, '0') END AS n_hex FROM documents",
-    "k4_data_urls": "SELECT doc_id, 'data:image/jpeg;base64,' || base64(encode(substr(text, 1, 500))) AS url FROM documents",
+    "t2_t4_t15_strings": "SELECT doc_id, strpos(text, 'the') - 1 AS the_at, hex(encode(text)) AS digits, CASE WHEN length(to_hex(n_chars)) >= 4 THEN to_hex(n_chars) ELSE lpad(to_hex(n_chars), 4, '0') END AS n_hex FROM documents",
+    "k4_data_urls": "SELECT doc_id, 'data:image/jpeg;base64,' || base64(encode(text)) AS url FROM documents",
     "j14_u3_missing_characters": "SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(string_split(text, '')), lambda c: c <> '' AND strpos('abcdefghijklmnopqrstuvwxyz ', c) = 0)), '') AS missing FROM documents",
     "t11_a10_cmaps": _MAPS + "SELECT file_id, code, uni FROM maps",
     "t8_char_map": _MAPS + "SELECT file_id, code, CASE WHEN uni = '00660069' THEN 'fi' WHEN uni = '0042' THEN 'B' ELSE chr(('0x' || uni)::INT) END AS char FROM maps",
     "t9_a12_o2_code_lengths": "SELECT DISTINCT lang AS file_id, '4,2' AS lengths FROM documents",
-    "t10_j8_translate": """WITH c AS (SELECT doc_id, list_transform(range(1, length(substr(text, 1, 80)) + 1), lambda i: substr(text, i, 1)) AS cs FROM documents),
+    "t10_j8_translate": """WITH c AS (SELECT doc_id, list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1)) AS cs FROM documents),
       t AS (SELECT doc_id, array_to_string(list_transform(cs, lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 122 THEN c ELSE '[?' || lpad(to_hex(unicode(c)), 4, '0') || ']' END), '') AS text FROM c) SELECT doc_id, text, text AS general FROM t""",
+    "j8_mixed_codes": """WITH c AS (SELECT doc_id, regexp_replace(translate(text, 'aeioutnrs', 'AAABBCCAB'), '[^ABC]', '', 'g') AS s FROM documents),
+      m AS (SELECT doc_id, list_transform(regexp_extract_all(s, 'AA|AB|CC|A|B|C'), lambda t: CASE t WHEN 'AA' THEN 'x' WHEN 'AB' THEN 'y' WHEN 'CC' THEN 'z' WHEN 'A' THEN 'a' WHEN 'B' THEN 'b' ELSE '[?43]' END) AS parts FROM c)
+      SELECT doc_id, array_to_string(parts, '') AS text FROM m""",
+    "m9_colours": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 3 END AS channels FROM events",
+    "m10_paeth": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda v: (floor(abs(v::DOUBLE) * 1000) % 256)::INT) AS c FROM embeddings),
+      n AS (SELECT vec_id, list_transform(range(1, len(c) - 1), lambda i: {'l': c[i], 'u': c[i + 1], 'k': c[i + 2], 'p': c[i] + c[i + 1] - c[i + 2]}) AS t FROM b)
+      SELECT vec_id, array_to_string(list_transform(t, lambda z: CASE WHEN abs(z.p - z.l) <= abs(z.p - z.u) AND abs(z.p - z.l) <= abs(z.p - z.k) THEN z.l WHEN abs(z.p - z.u) <= abs(z.p - z.k) THEN z.u ELSE z.k END), ',') AS predicted FROM n""",
+    "t3_empty_bytes": "SELECT event_id, repeat('00', (event_id % 50)::INT) AS digits FROM events",
     "m11_cmyk": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda v: (floor(abs(v::DOUBLE) * 1000) % 256)::INT) AS c FROM embeddings)
       SELECT vec_id, array_to_string(list_transform(range(0, 48), lambda i: floor(255::DOUBLE * (1::DOUBLE - c[(i // 3) * 4 + i % 3 + 1] / 255::DOUBLE) * (1::DOUBLE - c[(i // 3) * 4 + 4] / 255::DOUBLE) + 0.5::DOUBLE)::INT), ',') AS rgb FROM b""",
     "m12_rgba": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda v: (floor(abs(v::DOUBLE) * 1000) % 256)::INT) AS c FROM embeddings)
-      SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN i % 4 = 3 THEN 255 ELSE c[(i // 4) * 3 + i % 4 + 1] END), ',') AS rgba, array_to_string(list_transform(range(0, 32), lambda i: CASE WHEN i % 4 = 3 THEN 255 ELSE c[i // 4 + 1] END), ',') AS gray FROM b""",
+      SELECT vec_id, array_to_string(list_transform(range(0, len(c) // 3 * 4), lambda i: CASE WHEN i % 4 = 3 THEN 255 ELSE c[(i // 4) * 3 + i % 4 + 1] END), ',') AS rgba, array_to_string(list_transform(range(0, len(c) * 4), lambda i: CASE WHEN i % 4 = 3 THEN 255 ELSE c[i // 4 + 1] END), ',') AS gray FROM b""",
 }

@@ -81,7 +81,10 @@ def f13_f20_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page; pages without elements have empty arrays."""
     e = adapters.layout(spark, sf_dir)
     texts = lambda c: F.array_join(F.transform(F.coalesce(c, F.expr("array()")), lambda r: r["text"]), "|")
-    out = classify.classification(e.filter("page_no % 5 <> 1"), e.select(*PAGE).distinct())
+    pages = adapters.layout_pages(spark, sf_dir)
+    # Each file has one more page without elements.
+    blank = pages.groupBy("file_id").agg((F.max("page_no") + 1).cast("int").alias("page_no")).select(*PAGE)
+    out = classify.classification(e, pages.unionByName(blank))
     return out.select(*PAGE, texts(F.col("headers")).alias("headers"), texts(F.col("text")).alias("text"), "header_count", "text_count", "paragraph_count")
 
 
@@ -93,7 +96,7 @@ def o4_o5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_text_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout written as content streams and read back."""
     streams = adapters.content_streams(attach(spark), sf_dir)
-    return content.text_elements(streams, adapters.identity_fonts(streams)).select(*PAGE, "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "font_size", "width")
+    return content.text_elements(streams, adapters.identity_fonts(adapters.layout_pages(spark, sf_dir))).select(*PAGE, "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "font_size", "width")
 
 
 def w1_w2_text_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,20 +120,20 @@ def p2_p3_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t6_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal strings with escapes; documents in which backslashes and brackets are planted."""
     docs = adapters.table(spark, sf_dir, "documents")
-    token = F.concat(F.lit("("), F.translate(F.substring("text", 1, 200), "aeiou", "\\()nt"), F.lit(")"))
+    token = F.concat(F.lit("("), F.translate(F.col("text"), "aeiou", "\\()nt"), F.lit(")"))
     return docs.select("doc_id", literal_string(token).alias("text"))
 
 
 def t7_unicode_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTF-16 digits to text and back; digits that don't come in fours give nothing."""
     docs = adapters.table(spark, sf_dir, "documents")
-    digits = F.hex(F.encode(F.substring("text", 1, 300), "UTF-16BE"))
-    return docs.select("doc_id", unicode_hex(digits).alias("text"), unicode_hex(F.substring(digits, 1, 7)).alias("odd"), F.hex(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("utf8"))
+    digits = F.hex(F.encode("text", "UTF-16BE"))
+    return docs.select("doc_id", unicode_hex(digits).alias("text"), unicode_hex(F.concat(digits, F.lit("0"))).alias("odd"), F.hex(F.encode("text", "UTF-8")).alias("utf8"))
 
 
 def t12_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = adapters.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", trimmed(F.concat(F.lit(" ﻿\t　"), F.substring("text", 1, 50), F.lit("  \n"))).alias("text"))
+    return docs.select("doc_id", trimmed(F.concat(F.lit(" ﻿\t　"), F.col("text"), F.lit("  \n"))).alias("text"))
 
 
 QUERIES = (
@@ -158,11 +161,10 @@ ORACLES = {
     "w5_line_gaps": _KINDS + " SELECT file_id, page_no, el_idx, lag(y) OVER (PARTITION BY file_id, page_no ORDER BY rn) - y AS gap FROM body",
     "a4_mean_font": _KINDS + " SELECT file_id, page_no, avg(font_size) * 1.2::DOUBLE AS line_height FROM body GROUP BY ALL",
     "f13_f20_classification": _KINDS + """
-      SELECT file_id, page_no, CASE WHEN page_no % 5 = 1 THEN '' ELSE coalesce(string_agg(text, '|' ORDER BY k.el_idx) FILTER (is_header), '') END AS headers,
-        CASE WHEN page_no % 5 = 1 THEN '' ELSE coalesce(string_agg(text, '|' ORDER BY k.el_idx) FILTER (NOT is_header), '') END AS text,
-        CASE WHEN page_no % 5 = 1 THEN 0 ELSE (count(k.el_idx) FILTER (is_header))::INT END AS header_count, CASE WHEN page_no % 5 = 1 THEN 0 ELSE (count(k.el_idx) FILTER (NOT is_header))::INT END AS text_count,
-        CASE WHEN page_no % 5 = 1 THEN 0 ELSE coalesce(max(para_id), 0)::INT END AS paragraph_count
-      FROM (SELECT DISTINCT file_id, page_no FROM elements) p LEFT JOIN kinds k USING (file_id, page_no) LEFT JOIN (SELECT file_id, page_no, el_idx, para_id FROM lines_of) l USING (file_id, page_no, el_idx) GROUP BY file_id, page_no""",
+      SELECT file_id, page_no, coalesce(string_agg(text, '|' ORDER BY k.el_idx) FILTER (is_header), '') AS headers, coalesce(string_agg(text, '|' ORDER BY k.el_idx) FILTER (NOT is_header), '') AS text,
+        (count(k.el_idx) FILTER (is_header))::INT AS header_count, (count(k.el_idx) FILTER (NOT is_header))::INT AS text_count, coalesce(max(para_id), 0)::INT AS paragraph_count
+      FROM (SELECT DISTINCT file_id, page_no FROM elements UNION ALL SELECT file_id, (max(page_no) + 1)::INT FROM elements GROUP BY file_id) p
+      LEFT JOIN kinds k USING (file_id, page_no) LEFT JOIN (SELECT file_id, page_no, el_idx, para_id FROM lines_of) l USING (file_id, page_no, el_idx) GROUP BY file_id, page_no""",
     "o4_o5_samples": _KINDS + " SELECT file_id, page_no, el_idx AS place, substr(trim(text), 1, 60) AS sample FROM kinds WHERE is_header QUALIFY row_number() OVER (PARTITION BY file_id, page_no ORDER BY el_idx) <= 3",
     "p1_text_elements": "WITH " + adapters.LAYOUT_SQL.strip() + " SELECT file_id, page_no, trim(text) AS text, round(x, 3) AS x, round(y, 3) AS y, font_size, width FROM elements WHERE trim(text) <> ''",
     "w1_w2_text_state": _STREAM + """
@@ -180,7 +182,7 @@ ORACLES = {
       , spaced AS (SELECT *, strpos(tail, ' ') > 1 AS kern FROM halves)
       SELECT file_id, page_no, sum(CASE WHEN half > 0 THEN 1 ELSE 0 END + CASE WHEN kern THEN 1 + CASE WHEN strpos(tail, ' ') < length(tail) THEN 1 ELSE 0 END ELSE CASE WHEN tail <> '' THEN 1 ELSE 0 END END)::BIGINT AS hex_parts,
         sum(CASE WHEN half > 0 THEN 1 ELSE 0 END + CASE WHEN kern THEN 1 ELSE 0 END)::BIGINT AS kerns, sum(CASE WHEN kern THEN 1 ELSE 0 END)::BIGINT AS spaces FROM spaced GROUP BY ALL HAVING hex_parts > 0""",
-    "t6_literals": r"""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(translate(substr(text, 1, 200), 'aeiou', '\()nt'), '\\', '\'), '\(', '('), '\)', ')'), '\n', chr(10)), '\r', chr(13)), '\t', chr(9)), '\b', chr(8)), '\f', chr(12)) AS text FROM documents""",
-    "t7_unicode_hex": "SELECT doc_id, substr(text, 1, 300) AS text, '' AS odd, hex(encode(substr(text, 1, 20))) AS utf8 FROM documents",
-    "t12_trim": r"SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 50), '^\s+', ''), '\s+$', '') AS text FROM documents",
+    "t6_literals": r"""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(translate(text, 'aeiou', '\()nt'), '\\', '\'), '\(', '('), '\)', ')'), '\n', chr(10)), '\r', chr(13)), '\t', chr(9)), '\b', chr(8)), '\f', chr(12)) AS text FROM documents""",
+    "t7_unicode_hex": "SELECT doc_id, text, '' AS odd, hex(encode(text)) AS utf8 FROM documents",
+    "t12_trim": r"SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM documents",
 }

@@ -38,17 +38,22 @@ def local_session(cpus: int | str = "*", app: str = "platen", shuffle: int = 8)
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the cluster names none (tests on one machine) a folder of the
-    warehouse, which is shared as well, takes its place.
+    Where the cluster names none, the context's checkpoint folder takes its place, and on a
+    single machine (local mode) the warehouse. Elsewhere a missing folder is an error.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or conf.get("spark.sql.warehouse.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base and context._jsc.sc().getCheckpointDir().isDefined():
+        base = context._jsc.sc().getCheckpointDir().get()
+    if not base and context.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/platen-{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut the lineage of df through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or shared_folder(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+def written(df, name: str):
+    """df, written to the shared folder and read again: computed once, its lineage cut."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
