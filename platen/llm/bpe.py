@@ -566,10 +566,18 @@ def round_trip_digests(docs: DataFrame, path: str, chars: int = DICTIONARY_CHARS
     known = texts.sparkSession.read.schema("packed binary, chunk long").parquet(words).select("chunk", "packed")
 
     def listed(batches):
+        # A chunk's rows are one file, so they follow one another: each of its ids is handed on once.
+        held, seen = None, np.empty(0, np.int32)
         for batch in batches:
-            found = [np.unique(unpacked(v)[2]) for v in batch.column(1).to_pylist()]
-            chunks = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int32), *found]))], ["chunk", "id"])
+            for chunk, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != held:
+                    yield of_chunk(held, seen)
+                    held, seen = chunk, np.empty(0, np.int32)
+                seen = np.union1d(seen, unpacked(value)[2])
+        yield of_chunk(held, seen)
+
+    def of_chunk(chunk, ids):
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.int64()), pa.array(ids, pa.int32())], ["chunk", "id"])
 
     parts = piece_tables(known.mapInArrow(listed, "chunk long, id int"), path)
 
