@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents, and each result is written as Parquet and read again for the next.
+
+Defined cases, in every stage: a null doc_id or a null in another column is kept as it is; an empty table
+gives an empty table; long texts are read whole; further columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,26 +17,40 @@ from platen.session import attach, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon model rejects go; it learns from the labels of the documents that arrive."""
+    """Documents that the lexicon model rejects go; it learns from the labels of the documents that arrive.
+
+    Null and empty texts have no matches and stay; so does every row if no labels of both kinds are there.
+    Repeated rows have equal scores: they go or stay together. A score of exactly 0.5 rejects.
+    """
     attach(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id: five words, a similarity of 0.8."""
+    """One document of each near-duplicate group stays, that with the smallest doc_id: five words, a similarity of 0.8.
+
+    Rows that repeat doc_id and words leave one, the least by its JSON form; rows that share a doc_id only are judged each by
+    its own text. Texts without words and rows without a doc_id are nobody's copies and stay, each row of them.
+    """
     attach(spark)
     return neardup.without_near_duplicates(docs, shingle=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets become placeholders; n_chars follows."""
+    """Personal data and secrets become placeholders; n_chars follows.
+
+    Null texts stay null, empty ones empty; repeated rows give repeated rows.
+    """
     attach(spark)
     return pii.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens.
+
+    A null or empty text is a document of its end id; each of several rows of one doc_id is packed for itself.
+    """
     attach(spark)
     return packing.pack_documents(docs, tokenizer_path(), end_id=0)
 
