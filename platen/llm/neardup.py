@@ -272,3 +272,25 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
         return single
     again = marked.join(small(repeated), on, "left_semi").groupBy(*on).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("_least")).select("_least.*").toDF(*docs.columns)
     return single.unionByName(again)
+
+
+#: The groups of near_duplicate_groups(documents, 4, 80): every pair that shares a shingle is counted.
+ORACLE = """
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+words AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+runs AS (
+  SELECT r, n, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS g
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+shingles AS (SELECT DISTINCT r, g FROM runs WHERE i <= greatest(n - 3, 1)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+usable AS (SELECT r, g FROM shingles SEMI JOIN (SELECT r FROM texts WHERE doc_id IS NOT NULL) USING (r)),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM usable a JOIN usable b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT r AS a, r AS b FROM texts UNION SELECT reached.a, edges.b FROM reached JOIN edges ON edges.a = reached.b),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reached JOIN texts ON texts.r = reached.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id IS NULL OR component_id = doc_id AS kept
+FROM texts JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""

@@ -103,6 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from platen.llm import urlfilter
+    from platen.llm import neardup, urlfilter
 
-    return {"op3_url_rules": urlfilter.ORACLE}
+    return {"op3_url_rules": urlfilter.ORACLE, "op6_minhash_neardup": neardup.ORACLE}

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from platen.llm import neardup, shingles as shingling
+from platen.llm import neardup, queries, shingles as shingling
 from platen.llm.shingles import common, sets_of, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +75,25 @@ def test_documents_table_matches_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("sf_dir", [SF, SF.replace("0.001", "0.01")])
+def test_query_equals_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    got = queries.queries()["op6_minhash_neardup"](spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.oracle_sql()["op6_minhash_neardup"]).fetchall())
+
+
+def test_odd_rows_match_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, t) for i, t in planted(seed=9)] + [(None, "one two three four"), (7, None)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(neardup.ORACLE).fetchall()))
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, node long, bucket long, component string"
     rows = [(1, "a b c d e f", 9, 9, "x"), (1, "a b c d e f", 9, 9, "x"), (None, "a b c d e f", 1, 1, None), (2, "a b c d e f", None, None, None), (3, None, 1, 1, "y")]
