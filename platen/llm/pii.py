@@ -75,16 +75,19 @@ def _automaton():
     a.add_word("+", ("phone", 1))
     for s in SCHEMES:
         a.add_word(s, ("address", len(s)))
-    for kind, cues in (("account", CUES), ("secret", SECRET_CUES)):
+    for kind, cues in (("account", CUES), ("secret", SECRET_CUES), ("key", KEY_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, (kind, len(form)))
-    for cue in KEY_CUES:
-        a.add_word(cue, ("key", len(cue)))
+            a.add_word(cue.lower(), (kind, len(cue)))
     a.make_automaton()
     return a
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, place by place: cues and schemes count in any case."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -109,7 +112,7 @@ def find(text: str) -> list[Span]:
     """(kind, start, end) spans, by kind and start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_floor = dotted_end = spaced_end = value_end = 0
-    for last, (kind, size) in _automaton().iter(text):
+    for last, (kind, size) in _automaton().iter(_folded(text)):
         at = last - size + 1
         if kind == "digit":
             if at >= dotted_end:
@@ -152,7 +155,7 @@ def find(text: str) -> list[Span]:
             continue
         elif kind == "key":
             m = _KEY.match(text, last + 1)
-            if m:
+            if m and text[at : last + 1].isupper():
                 found["secret"].append((at, m.end()))
         else:
             m = _CUE_TAIL.match(text, last + 1)
