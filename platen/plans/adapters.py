@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = 8
@@ -84,8 +84,6 @@ def identity_fonts(pages: DataFrame) -> DataFrame:
 
 def paint(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """G: lineitem and part as placed images (file_id, page_no, seq, obj_num, matrix), image objects and pages."""
-    from pyspark.sql import Window
-
     li = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     d = F.col("l_quantity") * F.lit(15.84) * F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -124,6 +122,31 @@ def edit_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_id", "page_no", "el_idx", F.concat(F.lit("line "), F.col("el_idx").cast("string")).alias("text"), F.lit(72.0).alias("x"), (F.lit(700.0) - F.col("el_idx") * F.lit(14.4)).alias("y"), F.lit(12.0).alias("font_size"), F.lit(33.0).alias("width"))
 
 
+def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R: events as keys, caret moves, inserts, removals, font sizes and shifts, to be replayed in order."""
+    ev, n = table(spark, sf_dir, "events"), F.col("event_id")
+    kind, turn = F.col("event_type"), n % 3
+    op = (
+        F.when(kind.isin("click", "purchase") | ((kind == "signup") & (turn == 0)), "key").when(kind == "view", "caret")
+        .when(kind == "signup", F.when(turn == 1, "insert").otherwise("font_size")).otherwise(F.when(n % 2 == 0, "remove").otherwise("shift"))
+    )
+    text = (
+        F.when(kind == "click", F.when(n % 6 == 0, " ").otherwise(F.char(n % 26 + 97))).when(kind == "purchase", F.when(n % 4 == 0, "ArrowLeft").otherwise("Backspace"))
+        .when(turn == 0, "ArrowRight").when(turn == 1, F.concat(F.lit("new "), n.cast("string"))).otherwise(F.when(n % 5 == 0, "abc").otherwise((n % 20 + 8).cast("string")))
+    )
+    number = F.when(kind == "view", F.when(n % 2 == 0, n % 90).otherwise(0)).when(kind == "signup", n % 3 + 11).when(kind == "error", F.col("value"))
+    return ev.select(
+        F.lit("events").alias("file_id"), F.col("user_id").cast("int").alias("page_no"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), op.alias("op"),
+        (n % 8).cast("int").alias("el_idx"), text.alias("text"), number.cast("double").alias("number"), F.lit(72.0).alias("x"), (F.lit(640.0) - n % 40).alias("y"),
+    )
+
+
+def replay_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the log with texts near the length at which they wrap."""
+    text = F.concat("text", F.lit(" "), F.expr("repeat('word ', 14 + el_idx % 5)"))
+    return edit_elements(spark, sf_dir).withColumn("text", text).withColumn("width", F.length("text") * F.lit(5.5))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F: documents as files with sizes and types."""
     mime = F.when(F.col("doc_id") % 3 == 0, "image/png").otherwise("application/pdf")

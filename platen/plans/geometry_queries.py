@@ -120,6 +120,18 @@ def e5_shift_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("file_id", "obj_num", F.size("appearances").alias("n"), F.try_element_at("appearances", F.lit(1))["y"].alias("y"))
 
 
+def e6_e14_replayed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page after its whole log."""
+    attach(spark)
+    return edits.replay(adapters.replay_elements(spark, sf_dir), adapters.replay_log(spark, sf_dir)).drop("file_id")
+
+
+def j15_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The element under the last caret of each page."""
+    carets = adapters.replay_log(spark, sf_dir).filter("op = 'caret'").groupBy(*PAGE).agg(F.max_by("el_idx", "seq").alias("el_idx"))
+    return edits.elements_at(adapters.replay_elements(spark, sf_dir), carets).select("page_no", "el_idx", "text")
+
+
 def f18_file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.files(spark, sf_dir).select("doc_id", rejection(F.col("size"), F.col("mime")).alias("reason"))
 
@@ -212,7 +224,7 @@ def m12_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     a13_backgrounds, m1_coverage, a2_j11_appearances, a1_u2_o9_objects, j9_j10_i5_page_images, w7_f15_paint_operations, m6_page_frames, m5_m8_text_boxes, m7_image_boxes, m14_line_limits, j12_element_paragraphs, j13_header_styled,
-    e1_e4_property_edits, e5_shift, e5_shift_images, f18_file_checks, t13_file_sizes, t14_clock, t2_t4_t15_strings, k4_data_urls, j14_u3_missing_characters, t11_a10_cmaps, t8_char_map, t9_a12_o2_code_lengths, t10_j8_translate, j8_mixed_codes, m9_colours, m10_paeth, t3_empty_bytes, m11_cmyk, m12_rgba,
+    e1_e4_property_edits, e5_shift, e5_shift_images, e6_e14_replayed_edits, j15_cursors, f18_file_checks, t13_file_sizes, t14_clock, t2_t4_t15_strings, k4_data_urls, j14_u3_missing_characters, t11_a10_cmaps, t8_char_map, t9_a12_o2_code_lengths, t10_j8_translate, j8_mixed_codes, m9_colours, m10_paeth, t3_empty_bytes, m11_cmyk, m12_rgba,
 )
 
 _SCALE = "(850::DOUBLE / 612::DOUBLE)"
@@ -220,7 +232,51 @@ _MAPS = """WITH langs AS (SELECT DISTINCT lang AS file_id, length(lang) * 16 + a
   maps AS (SELECT file_id, lpad(to_hex(n), 4, '0') AS code, '00660069' AS uni FROM langs UNION ALL SELECT file_id, '0A', '0042' FROM langs
     UNION ALL SELECT file_id, lpad(to_hex(n + k), 4, '0'), lpad(to_hex(96 + k), 4, '0') FROM langs, range(1, 21) r(k)) """
 
+_REPLAY = """log AS (
+    SELECT user_id::INT AS page_no, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (event_id % 8)::INT AS k, 640::DOUBLE - event_id % 40 AS y, value,
+      CASE event_type WHEN 'click' THEN 'key' WHEN 'purchase' THEN 'key' WHEN 'view' THEN 'caret' WHEN 'signup' THEN ['key', 'insert', 'font_size'][event_id % 3 + 1] ELSE ['remove', 'shift'][event_id % 2 + 1] END AS op,
+      CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 6 = 0 THEN ' ' ELSE chr((97 + event_id % 26)::INT) END WHEN event_type = 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'ArrowLeft' ELSE 'Backspace' END
+        WHEN event_id % 3 = 0 THEN 'ArrowRight' WHEN event_id % 3 = 1 THEN 'new ' || event_id WHEN event_id % 5 = 0 THEN 'abc' ELSE (event_id % 20 + 8)::VARCHAR END AS txt,
+      (CASE WHEN event_id % 2 = 0 THEN event_id % 90 ELSE 0 END)::INT AS caret, (event_id % 3 + 11)::DOUBLE AS size
+    FROM events),
+  base AS (SELECT page_no, i::INT AS el_idx, 'line ' || i || ' ' || repeat('word ', 14 + i % 5) AS text FROM (SELECT DISTINCT user_id::INT AS page_no FROM events), range(10) r(i))"""
+
 ORACLES = {
+    "e6_e14_replayed_edits": "WITH RECURSIVE " + _REPLAY + """,
+  state AS (
+    SELECT page_no, 0::BIGINT AS n, list({'text': text, 'x': 72::DOUBLE, 'y': 700::DOUBLE - el_idx * 14.4::DOUBLE, 'size': 12::DOUBLE, 'width': length(text) * 5.5::DOUBLE} ORDER BY el_idx) AS els, 0 AS pos, 0 AS off FROM base GROUP BY page_no
+    UNION ALL
+    SELECT page_no, n,
+      CASE
+        WHEN op = 'insert' THEN list_slice(els, 1, k + 1) || [{'text': txt, 'x': 72::DOUBLE, 'y': y, 'size': size, 'width': length(txt) * 5.5::DOUBLE}] || list_slice(els, k + 2, len(els))
+        WHEN op = 'remove' THEN list_slice(els, 1, k) || list_slice(els, k + 2, len(els))
+        WHEN op = 'shift' THEN list_transform(els, lambda e: {'text': e.text, 'x': e.x, 'y': CASE WHEN e.y < y THEN e.y - value ELSE e.y END, 'size': e.size, 'width': e.width})
+        WHEN op = 'font_size' AND k < len(els) AND txt <> 'abc' THEN list_transform(els, lambda e, i: {'text': e.text, 'x': e.x, 'y': e.y, 'size': CASE WHEN i = k + 1 THEN txt::DOUBLE ELSE e.size END, 'width': e.width})
+        WHEN cuts THEN list_transform(els, lambda e, i: CASE WHEN i = pos + 1 THEN {'text': cut, 'x': e.x, 'y': e.y, 'size': e.size, 'width': length(cut) * 5.5::DOUBLE} ELSE e END)
+        WHEN merges THEN list_transform(list_slice(els, 1, pos) || list_slice(els, pos + 2, len(els)), lambda e, i: {'text': CASE WHEN i = pos THEN e.text || now.text ELSE e.text END, 'x': e.x,
+          'y': CASE WHEN e.y < now.y - 1 THEN e.y + height ELSE e.y END, 'size': e.size, 'width': CASE WHEN i = pos THEN length(e.text || now.text) * 5.5::DOUBLE ELSE e.width END})
+        WHEN wraps THEN list_transform(list_slice(els, 1, pos), lambda e: {'text': e.text, 'x': e.x, 'y': CASE WHEN e.y < now.y - 1 THEN e.y - height ELSE e.y END, 'size': e.size, 'width': e.width})
+          || [{'text': left(grown, space), 'x': now.x, 'y': now.y, 'size': now.size, 'width': space * 5.5::DOUBLE}, {'text': substr(grown, space + 2), 'x': now.x, 'y': now.y - height, 'size': now.size, 'width': (length(grown) - space - 1) * 5.5::DOUBLE}]
+          || list_transform(list_slice(els, pos + 2, len(els)), lambda e: {'text': e.text, 'x': e.x, 'y': CASE WHEN e.y < now.y - 1 THEN e.y - height ELSE e.y END, 'size': e.size, 'width': e.width})
+        WHEN types THEN list_transform(els, lambda e, i: CASE WHEN i = pos + 1 THEN {'text': grown, 'x': e.x, 'y': e.y, 'size': e.size, 'width': length(grown) * 5.5::DOUBLE} ELSE e END)
+        ELSE els END,
+      CASE WHEN op = 'caret' THEN k WHEN merges OR (goes_left AND off = 0 AND pos > 0) THEN pos - 1 WHEN wraps OR (goes_right AND off >= length(now.text) AND pos < len(els) - 1) THEN pos + 1 ELSE pos END,
+      CASE WHEN op = 'caret' THEN caret WHEN cuts OR (goes_left AND off > 0) THEN off - 1 WHEN merges OR (goes_left AND pos > 0) THEN length(before.text)
+        WHEN wraps THEN CASE WHEN off + 1 > space THEN off - space ELSE off + 1 END WHEN types OR (goes_right AND off < length(now.text)) THEN off + 1 WHEN goes_right AND pos < len(els) - 1 THEN 0 ELSE off END
+    FROM (
+      SELECT *, here AND txt = 'Backspace' AND off > 0 AS cuts, here AND txt = 'Backspace' AND off = 0 AND pos > 0 AND before.y > now.y AS merges, here AND length(txt) = 1 AS types, here AND txt = 'ArrowLeft' AS goes_left, here AND txt = 'ArrowRight' AS goes_right,
+        here AND length(txt) = 1 AND length(grown) * 5.5::DOUBLE > 810::DOUBLE / (850::DOUBLE / 612::DOUBLE) - now.x AND space >= 0 AS wraps
+      FROM (
+        SELECT *, CASE WHEN strpos(grown, ' ') > 0 THEN length(grown) - strpos(reverse(grown), ' ') ELSE -1 END AS space
+        FROM (
+          SELECT *, left(now.text, off) || txt || substr(now.text, off + 1) AS grown, CASE WHEN off > 0 THEN left(now.text, off - 1) ELSE '' END || substr(now.text, off + 1) AS cut, now.size * 1.2::DOUBLE AS height
+          FROM (
+            SELECT s.page_no, l.n, l.k, l.y, l.value, l.op, l.txt, l.caret, l.size, s.els, s.pos, s.off, s.els[s.pos + 1] AS now, CASE WHEN s.pos > 0 THEN s.els[s.pos] END AS before, l.op = 'key' AND s.pos < len(s.els) AS here
+            FROM state s JOIN log l ON l.page_no = s.page_no AND l.n = s.n + 1))))),
+  ends AS (SELECT page_no, arg_max(els, n) AS els FROM state GROUP BY page_no),
+  rows AS (SELECT page_no, unnest(els) AS e, generate_subscripts(els, 1) - 1 AS el_idx FROM ends)
+  SELECT page_no, el_idx::INT AS el_idx, e.text AS text, e.x AS x, e.y AS y, e.size AS font_size, e.width AS width FROM rows""",
+    "j15_cursors": "WITH " + _REPLAY + ", last AS (SELECT page_no, arg_max(k, n) AS el_idx FROM log WHERE op = 'caret' GROUP BY page_no) SELECT page_no, el_idx, text FROM base JOIN last USING (page_no, el_idx)",
     "a13_backgrounds": _PAINT + "SELECT file_id, page_no, obj_num, x, y, w AS rendered_width, h AS rendered_height FROM background",
     "m1_coverage": _PAINT + "SELECT file_id, page_no, seq, obj_num, cov AS coverage FROM covered",
     "a2_j11_appearances": _PAINT + "SELECT file_id, obj_num, count(*)::INT AS n, arg_min(e, (page_no, seq)) AS x, arg_min(y, (page_no, seq)) AS y, arg_max(abs(a), (page_no, seq)) AS last_width FROM covered GROUP BY ALL",
