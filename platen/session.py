@@ -18,6 +18,11 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def as_plan(function):
+    """A function for mapInArrow without annotations, which Spark would read."""
+    return lambda batches: function(batches)
+
+
 def local_session(cpus: int | str = "*", app: str = "platen", shuffle: int = 8) -> SparkSession:
     """A session for tests and the benchmark."""
     spark = (

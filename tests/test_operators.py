@@ -26,6 +26,16 @@ def test_paragraphs_reset_their_width(spark):
     assert (first.width, first.y, len(first.lines)) == (100.0, 700.0, 3)
 
 
+def test_long_pages_and_missing_values(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit("f").alias("file_id"), F.lit(1).alias("page_no"), F.col("id").cast("int").alias("el_idx"), F.lit("t").alias("text"), F.lit(72.0).alias("x"), (-F.col("id") * 14.0).alias("y"), F.lit(12.0).alias("font_size"), F.when(F.col("id") % 10 == 9, 10.0).otherwise(100.0).alias("width"))
+    last = classify.paragraph_lines(rows).agg(F.max("para_id").alias("paras"), F.count("*").alias("n")).first()
+    assert (last.paras, last.n) == (n // 10, n)
+    odd = spark.createDataFrame([("g", 1, 0, "a", None, None, None, None), ("g", 1, 1, "b", None, None, None, None), ("g", 1, 2, "c", None, -50.0, None, 5.0), ("g", 1, 3, "d", None, -51.0, None, None), ("g", 1, 4, "e", None, -52.0, None, 1.0)], PAGE + ", el_idx int, text string, x double, y double, font_size double, width double")
+    assert [r.para_id for r in classify.paragraph_lines(odd).orderBy("line_pos").collect()] == [1, 1, 2, 2, 3]
+    assert classify.paragraph_lines(odd.filter("false")).count() == 0
+
+
 def test_header_rule(spark):
     rows = [("f", 1, 0, "a", 296.0, 20.0), ("f", 1, 1, "b", 72.0, 200.0), ("f", 1, 2, "c", 72.0, 467.5), ("f", 1, 3, "  ", 306.0, 1.0), ("f", 1, 4, None, 306.0, 1.0)]
     e = spark.createDataFrame(rows, PAGE + ", el_idx int, text string, x double, width double").withColumns({"y": F.lit(1.0), "font_size": F.lit(12.0)})
