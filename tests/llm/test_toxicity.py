@@ -1,7 +1,9 @@
 """Toxicity: held-out accuracy, folding, exceptions, odd rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -56,6 +58,44 @@ def test_query_on_the_table(spark):
     assert toxicity.quality([(r.score, r.toxic) for r in rows if r.held_out and r.lang == "en"])["accuracy"] >= 0.97
 
 
+def brute_score(model, text):
+    """The score by plain searches for every term and phrase at every place."""
+    folded = toxicity.fold(text)
+    places = lambda term: [i for i in range(len(folded)) if folded.startswith(term, i)]
+    strongest, back = {}, 0.0
+    for term, weight in model.weights.items():
+        if term not in model.exceptions and term in folded:
+            for i in places(term):
+                strongest[i] = max(strongest.get(i, 0.0), weight)
+    for phrase, weight in model.exceptions.items():
+        if phrase in folded:
+            back += weight * len(places(phrase))
+    total = max(math.fsum(strongest.values()) - back, 0.0)
+    z = sum(c * f for c, f in zip(model.coefficients, (1.0, float(total > 0), math.log1p(total), total / math.sqrt(len(folded.split()) + 20)), strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_and_lexicon_match_brute_force(spark):
+    rows, labels = corpus(250, seed=4)
+    rows += [(9000, None), (9001, ""), (9002, "grubbel snorkfen " * 50), (9003, "honest grubbel pie " * 3)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert model.weights and got.keys() == {i for i, _ in rows}
+    assert all(abs(got[i] - brute_score(model, t)) < 1e-9 for i, t in rows)
+
+    texts = dict(rows)
+    taught = [(toxicity.fold(texts[i]), t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 5]
+    taught = {(toxicity.print_of(f), t): f for f, t in sorted(taught, reverse=True)}  # near copies once, the least of them
+    seen = {0: Counter(), 1: Counter()}
+    for (_, t), folded in taught.items():
+        words = set(folded.split())
+        seen[t].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in toxicity.PREFIXES if len(w) > k})
+    kinds = Counter(t for _, t in taught)
+    counts = [(term, seen[1][term], seen[0][term]) for term in seen[1] | seen[0]]
+    assert toxicity.lexicon(counts, kinds[1], kinds[0]) == model.weights
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows, labels = corpus(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
