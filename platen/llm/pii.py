@@ -12,7 +12,7 @@ Base kinds, each leftmost and non-overlapping, with code-point offsets:
 * card: digits that single spaces or hyphens may separate, 13 to 19 of them, Luhn
 * phone: `\\+[0-9][\\x20().0-9-]+[0-9]` with 9 to 15 digits
 
-Kinds that the anchors add:
+Kinds that the anchors add, by cues and schemes in any case:
 
 * account: after a cue (iban, ssn, passport, ...), an IBAN with valid check
   digits, a nine-digit social security number, or a mixed identifier with at least 5 digits
