@@ -51,6 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm.held import claim
 from platen.session import shared_folder
 
 CHUNK = 1 << 20  # characters that are split at once
@@ -312,11 +313,21 @@ class WordCodec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> WordCodec:
-    """The codec of a Python worker; its word table lasts over tasks."""
+def _codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
+def _let_go() -> None:
+    _codec.cache_clear()
+    pieces.cache_clear()
+
+
+def codec(path: str) -> WordCodec:
+    """The codec of a Python worker; its word table lasts over tasks, until another operator's tables take its place."""
+    claim("codec", _let_go)
+    return _codec(path)
+
+
 _BYTE_OF: dict[str, int] = {}
 
 

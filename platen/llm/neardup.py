@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.bpe import text_column
+from platen.llm.bpe import few_rows, text_column
 from platen.llm.components import connected_components, contracted
 from platen.llm.shingles import common, hashes_of, mix, sequence_key, shingle_set, words_of
 from platen.llm.tables import dropped, salted, small, spread, stored
@@ -79,7 +79,7 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             n, a, b, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(hashes_of(text), size)
@@ -97,14 +97,14 @@ def _sketch(size: int):
 
 def _keyed(batches):
     """(doc_id, text) with the halves of the sequence key."""
-    for batch in batches:
+    for batch in few_rows(batches):
         keys = [sequence_key(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))], ["doc_id", "text", "key_a", "key_b"])
 
 
 def _signed(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             n, signs, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(hashes_of(text), size)
@@ -260,7 +260,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
 
     def keyed(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             keys = [sequence_key(t) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))], [*names, "key_a", "key_b"])
 

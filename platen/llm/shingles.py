@@ -17,6 +17,8 @@ from itertools import chain
 
 import numpy as np
 
+from platen.llm.held import claim
+
 BLOCK = 1 << 20  # bytes that are words at a time
 TABLE_WORDS = 300_000  # word hashes that a worker keeps
 _BASE = np.uint64(0xA0761D6478BD642F)
@@ -63,6 +65,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def hashes_of(text: str | None) -> np.ndarray:
     """Word hashes, in order."""
+    claim("shingles", _hashes.clear)
     parts = [np.fromiter(map(_hashes.__getitem__, block), np.uint64, len(block)) for block in _blocks(text)]
     return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.bpe import text_column
+from platen.llm.bpe import few_rows, text_column
+from platen.llm.held import claim
 from platen.llm.tables import dropped, stored
 
 TRAIN_ROWS = 20_000
@@ -199,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     texts = text_column(docs.select("doc_id", "text")).join(F.broadcast(marks), "doc_id").select("text", "toxic")
 
     def fold_texts(batches):
-        for batch in batches:
+        claim("toxicity")
+        for batch in few_rows(batches):
             folded = [fold(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(folded, pa.string()), batch.column(1), pa.array([print_of(f) for f in folded], pa.int64())], ["text", "toxic", "print"])
 
@@ -263,7 +265,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         automaton = model.automaton()
-        for batch in batches:
+        for batch in few_rows(batches):
             got = [model.score(model.features(fold(t), automaton)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
@@ -275,8 +277,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     place = docs.columns.index("text")
 
     def run(batches):
+        claim("toxicity")
         automaton = model.automaton()
-        for batch in batches:
+        for batch in few_rows(batches):
             keep = [model.score(model.features(fold(t), automaton)) < threshold for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

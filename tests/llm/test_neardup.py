@@ -181,3 +181,17 @@ def test_texts_beyond_a_block(monkeypatch):
     long = " ".join(f"w{i % 7919}" for i in range(400_000))
     monkeypatch.undo()
     assert [len(s) for s in sets_of([long], 4)] == [len(shingles(long, 4))]
+
+
+def test_a_worker_keeps_the_tables_of_one_operator_at_a_time():
+    from platen.llm import bpe, held, shingles
+    from platen.llm.queries import tokenizer_path
+
+    ids = [x.tolist() for x in bpe.codec(tokenizer_path()).encode(["some words"])]
+    hashes = shingles.hashes_of("some words").tolist()
+    assert shingles._hashes and not bpe._codec.cache_info().currsize
+    assert [x.tolist() for x in bpe.codec(tokenizer_path()).encode(["some words"])] == ids
+    assert bpe._codec.cache_info().currsize == 1 and not shingles._hashes
+    assert shingles.hashes_of("some words").tolist() == hashes
+    held.claim("toxicity")
+    assert not shingles._hashes and not bpe._codec.cache_info().currsize
