@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,13 +16,20 @@ from platen.session import as_plan, attach
 PAGE = ["file_id", "page_no"]
 
 
-def _number(v: float) -> str:
+@lru_cache(maxsize=1 << 12)
+def _shown(v: float) -> str:
     return f"{v:.4f}".rstrip("0").rstrip(".")
 
 
+def _number(v: float) -> str:
+    return _shown(v) if v else f"{v:.4f}".rstrip("0").rstrip(".")  # 0 and -0 are one key
+
+
 def _literal(text: str) -> bytes:
     data = text.encode("cp1252", "replace")
-    return b"(" + re.sub(rb"([\\()])", rb"\\\1", data).replace(b"\r", b"\\r").replace(b"\n", b"\\n") + b")"
+    for char, escaped in ((b"\\", b"\\\\"), (b"(", b"\\("), (b")", b"\\)"), (b"\r", b"\\r"), (b"\n", b"\\n")):
+        data = data.replace(char, escaped)
+    return b"(" + data + b")"
 
 
 def _jpeg_size(data: bytes) -> tuple[int, int, int]:
@@ -101,6 +109,11 @@ def write_pdf(pages: list[dict]) -> bytes:
     return bytes(out) + f"xref\n0 {len(bodies) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
 
 
+def edited_name(file_id: object) -> str:
+    """K1: the name of a file that was written again."""
+    return "edited_" + re.sub(r".*/", "", str(file_id))
+
+
 def _page(r: dict) -> dict:
     """A page of export as write_pdf takes it."""
     b = r["background"]
@@ -125,9 +138,8 @@ def export(pages: DataFrame, elements: DataFrame, backgrounds: DataFrame, page_i
         for batch in batches:
             for i in range(batch.num_rows):
                 file_id = batch.column(0)[i].as_py()
-                name = "edited_" + re.sub(r".*/", "", str(file_id))
                 made = write_pdf([_page(r) for r in batch.column(1)[i].as_py()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([name], pa.string()), pa.array([made], pa.binary())], ["file_id", "name", "content"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([edited_name(file_id)], pa.string()), pa.array([made], pa.binary())], ["file_id", "name", "content"])
 
     return whole.mapInArrow(as_plan(run), "file_id string, name string, content binary")
 
